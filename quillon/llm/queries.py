@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality_rules, token_counts
+from . import brown_lm, decontamination, jaccard_join, language_id, packing, quality_rules, token_counts
 from .common import small_batches, table
 
 
@@ -24,6 +24,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return brown_lm.held_out_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +57,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_brown_lm": op5_brown_lm,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
