@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontamination, jaccard_join, language_id, packing, quality_rules, token_counts
-from .common import small_batches, table
+from . import brown_lm, chat_tools, compaction, decontamination, html_extraction, jaccard_join, language_id, packing, quality_rules, token_counts
+from .common import Scratch, small_batches, table
 
 
 def vocabulary(name: str) -> str:
@@ -18,12 +18,23 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.from_turns(table(spark, sf_dir, "conversations"))
+    linked = chat_tools.link(calls, results, chat_tools.TURN_SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", ","))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -44,6 +55,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
 
 
+def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they arrive, three quarters and then the rest, compacted and read back from the last version."""
+    docs = table(spark, sf_dir, "documents")
+    sharded = compaction.Table(spark, Scratch(spark, "shards").base)
+    late = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(4)) == 0
+    sharded.append(docs.where(~late))
+    sharded.append(docs.where(late))
+    while sharded.compact() is not None:
+        sharded.vacuum()
+    sizes = sharded.manifest()
+    # A row for each file of the target size; a path may be written with one or three slashes.
+    name = lambda c: F.regexp_extract(c, "([^/]+/[^/]+)$", 1)
+    sizes = sizes.select(name(F.col("path")).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    rows = sharded.read(shard="shard").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), name(F.col("shard")).alias("shard"))
+    return rows.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "shard", "left")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,11 +84,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
+    "op3_tool_calls": op3_tool_calls,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_brown_lm": op5_brown_lm,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_compaction": op8_compaction,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
@@ -105,5 +136,15 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
 
 
+_TOOL_CALLS_SQL = """
+WITH calls AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT conv_id, concat('call_', conv_id, '_', turn) AS call_id, turn, 'reply' AS tool, 0 AS level, content IS NOT NULL AS linked, text IS NOT NULL AS valid,
+       CASE WHEN text IS NULL THEN 'missing:prompt' ELSE '' END AS errors,
+       concat('{"arguments":{', CASE WHEN text IS NOT NULL THEN concat('"prompt":', to_json(text), ',') ELSE '' END, '"turn":', turn, '},"id":"call_', conv_id, '_', turn, '"',
+              CASE WHEN content IS NOT NULL THEN concat(',"result":', to_json(content)) ELSE '' END, ',"tool":"reply"}') AS json
+FROM calls LEFT JOIN results USING (conv_id, turn)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _DECONTAMINATION_SQL, "op9_quality_rules": _quality_sql()}
+    return {"op3_tool_calls": _TOOL_CALLS_SQL, "op7_decontamination": _DECONTAMINATION_SQL, "op9_quality_rules": _quality_sql()}
