@@ -1 +1 @@
-"""See the package documentation."""
+"""Scalar semantics of the expression language as functions of Spark columns."""
