@@ -65,6 +65,8 @@ class Module:
             elif default is inspect.Parameter.empty:
                 problems.append(f"missing parameter {n}")
                 continue
+            elif problems and isinstance(default, Default):
+                continue  # what it is made of may be what is missing
             else:
                 v = default.f(env) if isinstance(default, Default) else default
             env[n] = v
