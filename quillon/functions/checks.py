@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import logging
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .arith import check
@@ -25,3 +27,10 @@ def assert_map(m: Column) -> Column:
 def all_hold(xs: Column) -> Column:
     """True if all hold; the first that does not raises, so it is never false."""
     return check(F.forall(xs, lambda x: x), F.lit(True), F.concat(F.lit("assertion failed: "), F.coalesce(F.array_position(xs, F.lit(False)) - 1, F.lit(0)).cast("string")))
+
+
+def trace(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, Observation]:
+    """df unchanged, and what its first action sees of aggregates of it; nothing is computed twice."""
+    seen = Observation(name)
+    logging.getLogger("quillon.trace").debug("tracing %s", name)
+    return df.observe(seen, *[v.alias(k) for k, v in ({"rows": F.count(F.lit(1))} | values).items()]), seen

@@ -719,6 +719,78 @@ def coerce_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.coerce(df, "n", "bigint")
 
 
+@query("SELECT concat('t', event_id) AS id, event_type AS ident FROM events WHERE concat('t', event_id) LIKE 't12%'")
+def tasks_by_short_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.tasks(tasks_of(spark, sf_dir), metadata.TaskQuery(id="t12")).select("id", "ident")
+
+
+@query("SELECT concat('r', c_custkey) AS id FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def runs_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("user"))
+    return metadata.runs(rows, user="MACHINERY").select("id")
+
+
+@query("SELECT concat('p', s_suppkey) AS id FROM supplier WHERE s_nationkey = 7")
+def pools_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), "s_suppkey").alias("id"), F.concat(F.lit("c"), "s_nationkey").alias("cluster_name"))
+    return metadata.pools(rows, cluster={"name": "c7"}).select("id")
+
+
+@query("SELECT sha256(event_type) AS img_cmd_id, count(*) AS n_tasks, count(DISTINCT user_id) AS n_runs FROM events GROUP BY 1")
+def images_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.images(tasks_of(spark, sf_dir)).drop("last")
+
+
+@query("SELECT event_type AS type, CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE CASE WHEN event_id % 3 <> 0 THEN round(value * 1000000) ELSE round(value * 1000000) + 60000000 END END) AS BIGINT) AS micros FROM events GROUP BY 1")
+def hourly_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a price of 3.6e9 an hour the cost is the time in microseconds; a type without a price costs nothing that is known."""
+    prices = spark.createDataFrame([(t, 3.6e9) for t in ("click", "error", "signup", "purchase")], "type string, price double")
+    priced = metadata.hourly_cost(tasks_of(spark, sf_dir).withColumn("type", F.col("ident")), prices)
+    return priced.groupBy("type").agg(F.sum(F.round("cost")).cast("long").alias("micros"))
+
+
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS digest, 'part' AS property, CAST(l_partkey AS VARCHAR) AS value FROM lineitem UNION SELECT CAST(o_orderkey AS VARCHAR), 'status', o_orderstatus FROM orders")
+def assertions_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order has its own facts and those of the parts in it."""
+    text = lambda c: F.col(c).cast("string")
+    own = table(spark, sf_dir, "orders").select(text("o_orderkey").alias("digest"), F.lit("o").alias("subject"), F.lit("n").alias("namespace"), F.lit("status").alias("property"), F.col("o_orderstatus").alias("value"))
+    lineage = table(spark, sf_dir, "lineitem").select(text("l_orderkey").alias("digest"), text("l_partkey").alias("input"))
+    parts = table(spark, sf_dir, "part").select(text("p_partkey").alias("input"), F.lit("p").alias("subject"), F.lit("n").alias("namespace"), F.lit("part").alias("property"), text("p_partkey").alias("value"))
+    return assertions.propagate(own, lineage, parts).select("digest", "property", "value")
+
+
+@query("SELECT source AS path, arg_max(sha256(text), doc_id) AS id FROM documents GROUP BY 1")
+def dirs_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map column of path to file for each language, then a directory again."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.max_by(dirs.file_of_text(F.col("text")), "doc_id").alias("file"))
+    maps = rows.select(F.create_map("source", "file").alias("m"))
+    return names(dirs.make(maps, "m")).drop("size")
+
+
+@query("SELECT array_to_string([CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)], '/') AS leaf, strlen(text) AS size FROM conversations")
+def fileset_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.array(F.col("conv_id").cast("int"), F.col("turn").cast("int")).alias("list_path"), F.col("role").alias("path"), dirs.file_of_text(F.col("text")).alias("file"))
+    return filesets.flatten(rows).select("leaf", F.col("file.size").alias("size"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(round(value * 100)) AS BIGINT) AS cents, 1 AS cached FROM events WHERE value > 1 GROUP BY 1")
+def memo_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph evaluated twice; the second time its root comes from the cache and nothing below it runs."""
+    from .plans.memo import Evaluator, Node, intern_node
+    from .sources.io import work_folder
+
+    folder = work_folder(spark, "memo")
+
+    def graph() -> Node:
+        source = intern_node(spark, lambda: table(spark, sf_dir, "events").select("event_type", "value"), f"{sf_dir}/events.parquet")
+        kept = Node("filter", lambda d: d.where(F.col("value") > 1), (source,), params=["value", 1], ident="kept")
+        return Node("total", lambda d: d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(cents("value")).alias("cents")), (kept,), ident="total")
+
+    Evaluator(spark, folder).evaluate(graph())
+    again = Evaluator(spark, folder)
+    return again.evaluate(graph()).withColumn("cached", F.lit(again.stats["total"]["cached"]))
+
+
 # --- extensions ----------------------------------------------------------------------
 
 

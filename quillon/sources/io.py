@@ -18,6 +18,15 @@ LOCAL_LIMIT = 200 << 20
 SCHEMES = {"file", "localfile", "s3", "s3a", "hdfs", "viewfs", "gs", "abfs", "abfss", "http", "https", ""}
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a local one only where the cluster names none, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def scheme(url: str) -> str:
     head, sep, _ = url.partition("://")
     return head if sep else ""

@@ -299,3 +299,48 @@ def test_streams(spark, sf_dir, tmp_path):
     assert got == {(r["start"], r["event_type"]): r["n"] for r in tumbling(events, "6 hours", "event_type").collect()}
     assert sliding(events, "2 hours", "1 hour").agg(F.sum("n")).first()[0] == 2 * events.count()
     assert sessions(events, "1 hour", "user_id").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_taskdb(spark, tmp_path):
+    from datetime import datetime
+
+    from quillon.operators import metadata
+    from quillon.sources.taskdb import TaskDB
+
+    db = TaskDB(spark, str(tmp_path / "db"))
+    assert db.table("run").count() == 0
+    db.create_run("r1", "me", {"a": "b"}, start=datetime(2024, 1, 1))
+    db.set_run_attrs("r1", "bundle", ["-x", "1"])
+    db.keep_alive("run", "r1", datetime(2024, 1, 1, 1))
+    db.keep_alive("run", "r1", datetime(2024, 1, 1, 0, 30))
+    db.create_task("t1", "r1", "f1", "ident", resources={"mem": 2.0})
+    db.set_task_uri("t1", "u")
+    db.set_task_attrs("t1", stdout="o")
+    db.set_task_complete("t1", err="bad")
+    db.start_pool("p1", cluster_name="c")
+    db.start_alloc("a1", "p1", resources={"mem": 1.0})
+    db.set_end("alloc", "a1", datetime(2030, 1, 1))
+    r = db.table("run").first()
+    assert (r["user"], r["args"], r["keepalive"], r["end"], r["labels"]) == ("me", ["-x", "1"], datetime(2024, 1, 1, 1), None, {"a": "b"})
+    t = metadata.tasks(db.table("task"), metadata.TaskQuery(run_id="r1")).first()
+    assert (t["uri"], t["stdout"], t["err"], t["resources"]) == ("u", "o", "bad", {"mem": 2.0}) and t["end"]
+    assert db.table("alloc").first()["end"] == datetime(2030, 1, 1) and db.table("pool").first()["cluster_name"] == "c"
+    with pytest.raises(EngineError):
+        db._write("run", "r1", nonsense=1)
+
+
+def test_run_flags():
+    from quillon.plans.runflags import RunFlags, unused
+
+    assert RunFlags(eval_="bottomup", cache="off").memo().mode is Mode.OFF
+    for bad in ({"assert_": "x"}, {"eval_": "x"}, {"cache": "x"}, {"invalidate": "("}, {"backgroundtimeout": -1}, {"pred": True, "cache": "off"}):
+        with pytest.raises(EngineError):
+            RunFlags(**bad)
+    assert RunFlags(nocacheextern=True).warnings and unused(["a", "_b", "c"], {"c"}) == ["a is declared but not used"]
+
+
+def test_trace(spark):
+    from quillon.functions.checks import trace
+
+    df, seen = trace(spark.range(4), "t", total=F.sum("id"))
+    assert df.count() == 4 and seen.get == {"rows": 4, "total": 6}
