@@ -13,6 +13,7 @@ of length 1; repeated rows are packed each for itself; extra columns do not matt
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REMEMBER = 400_000
+#: Distinct parts that a worker remembers; when full it starts anew.
+REMEMBER = 800_000
 
 
 def cuts(n: int, length: int) -> list[int]:
@@ -32,32 +34,73 @@ def cuts(n: int, length: int) -> list[int]:
 
 
 @lru_cache(1)
-def load(path: str):
+def load(path: str) -> Ids:
+    """The ids of a worker process; what it remembers serves all its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Ids(Tokenizer.from_file(path))
+
+
+#: The printable stand-in that byte-level vocabularies have for each byte.
+_STAND_IN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Ids:
     """The library's ids of texts as little-endian unsigned 32-bit bytes.
 
-    This vocabulary drops white space before it merges, so what stands between
-    blanks is tokenized on its own; each distinct such part goes to the library
-    once and is remembered. Special strings hold no blank and so stay whole.
+    This vocabulary lower-cases, drops white space and never merges across it,
+    so what stands between blanks is tokenized on its own; each distinct such
+    part goes to the library once and is remembered. Special strings hold no
+    blank and so stay whole. A part that is a Latin word in lower case, or one and a
+    comma or full stop, is one pre-token (and one more) in normal form, which the
+    library's model takes as it is.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.seen = tokenizer, {}
+        self.model = tokenizer.model
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token in normal form, straight from the library's merge model."""
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(_STAND_IN)
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(word)])
+
+    def _learn(self, parts: list[str]) -> None:
+        seen, plain = self.seen, []
+        marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
+        for p in parts:
+            stem = p[:-1] if p[-1:] in marks else p
+            if stem.isalpha() and stem.islower() and _latin(stem):
+                ids = seen.get(stem)
+                if ids is None:
+                    ids = seen[stem] = self._word(stem)
+                if stem is not p:
+                    seen[p] = ids + marks[p[-1]]
+            else:
+                plain.append(p)
+        for lo in range(0, len(plain), 20_000):
+            some = plain[lo : lo + 20_000]
+            seen.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        # Lower case beforehand makes fewer parts; where the library might see it otherwise, it is left to it.
+        texts = [t.lower() if "<|" not in t and _latin(t) else t for t in texts]
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         every = {p for ps in parts for p in ps}
-        new = list(every.difference(self.seen))
-        if len(self.seen) + len(new) > REMEMBER:
-            self.seen, new = {}, list(every)
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            self.seen.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
+        if len(self.seen) + len(every) > REMEMBER:
+            self.seen = {}
+        self._learn(list(every.difference(self.seen)))
         get = self.seen.__getitem__
         return [b"".join(map(get, ps)) for ps in parts]
 
@@ -77,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, count = Ids(load(vocabulary)), TaskContext.get().partitionId() << 40
+        ids, count = load(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
