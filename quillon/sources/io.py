@@ -7,6 +7,11 @@ and times without opening a file.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +26,6 @@ SCHEMES = {"file", "localfile", "s3", "s3a", "hdfs", "viewfs", "gs", "abfs", "ab
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; a local one only where the cluster names none, as in tests."""
     import tempfile
-    import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
     return f"{base}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -116,14 +120,43 @@ def create_file(df: DataFrame, text: str, name: str = "file") -> DataFrame:
 
 
 def copy_dir(spark: SparkSession, source: str, target: str) -> int:
-    """Copy all files below a URL to another, each by the task that reads its row; the target needs a scheme. Returns how many."""
+    """Copy all files below a URL to another; the target needs a scheme. Returns how many.
+
+    Tasks read contents by Spark and write them by Arrow's file systems, each file under
+    another name first and then renamed, so a task that runs again does no harm. Where
+    Arrow does not know the target's scheme, the driver has Hadoop copy file by file.
+    """
     if not scheme(target):
         raise EngineError(Kind.INVALID, "a copy's target has a scheme")
     root = location(target).rstrip("/")
-    files = _scan(spark, source).select(_relative(spark, source).alias("path"), F.col("path").alias("source"))
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    for r in files.toLocalIterator():  # names only; bytes go from store to store
+    arrow_root = "s3://" + root.removeprefix("s3a://") if root.startswith("s3a://") else root
+    files = _scan(spark, source).select(_relative(spark, source).alias("path"), F.col("path").alias("source"), "content")
+    try:
+        fs.FileSystem.from_uri(arrow_root)
+    except (pa.ArrowInvalid, OSError):
+        return _copy_by_driver(spark, files.select("path", "source"), root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(arrow_root)
+        n = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                to = f"{base}/{path}"
+                store.create_dir(to.rpartition("/")[0], recursive=True)
+                part = f"{to}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, to)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    done = files.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n").alias("n")).first()
+    return done["n"] or 0
+
+
+def _copy_by_driver(spark: SparkSession, files: DataFrame, root: str) -> int:
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for r in files.toLocalIterator():
         a, b = jvm.org.apache.hadoop.fs.Path(r["source"]), jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
         jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
         n += 1
