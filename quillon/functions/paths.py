@@ -13,9 +13,9 @@ def base(p: Column) -> Column:
 
 
 def dirname(p: Column) -> Column:
-    """All but the last element, without the slash; '.' if there is none, '/' at the root."""
+    """All before the last slash; empty if there is none, '/' at the root."""
     head = F.regexp_extract(p, r"(?s)^(.*)/[^/]*$", 1)
-    return F.when(~F.contains(p, F.lit("/")), F.lit(".")).when(head == "", F.lit("/")).otherwise(head)
+    return F.when(~F.contains(p, F.lit("/")), F.lit("")).when(head == "", F.lit("/")).otherwise(head)
 
 
 def ext(p: Column) -> Column:

@@ -166,25 +166,32 @@ def newest(df: DataFrame, n: int, *by: str) -> DataFrame:
     return df.where(F.col("end").isNotNull()).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
 
 
+#: Profiles of more memory than this are taken for errors of measurement.
+MOST_MEM = 4 << 40
+
+
 @dataclass(frozen=True)
 class Predictor:
     """Predicts memory and duration from profiles of like tasks.
 
     A task's group is its image and command, else its ident. A group needs ``min_data``
-    tasks; of those that ended, the newest ``max_inspect`` with a profile count.
+    tasks, and as many valid profiles among the newest ``max_inspect`` that ended and have one.
+    The duration is the longest; with too few of them it is 0.
     """
 
     min_data: int = 5
     max_inspect: int = 50
     mem_percentile: float = 95
-    time_percentile: float = 95
 
     def model(self, tasks: DataFrame, by: str) -> DataFrame:
-        """(by, mem, seconds) of groups with enough data. tasks: (by, id, end, mem, seconds), null where not profiled."""
+        """(by, mem, seconds, n) of groups with enough data. tasks: (by, id, end, mem, seconds); null mem: no profile."""
         tasks = tasks.where(F.col(by).isNotNull())
         enough = tasks.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_data).select(by)
         used = newest(tasks.join(enough, by, "left_semi").where(F.col("mem").isNotNull()), self.max_inspect, by)
-        return used.groupBy(by).agg(nearest_rank(self.mem_percentile, "mem").alias("mem"), nearest_rank(self.time_percentile, "seconds").alias("seconds"), F.count(F.lit(1)).alias("n"))
+        used = used.withColumn("mem", F.when(F.col("mem").between(0, MOST_MEM), F.col("mem")))
+        found = used.groupBy(by).agg(nearest_rank(self.mem_percentile, "mem").alias("mem"), F.max("seconds").alias("longest"), F.count("seconds").alias("timed"), F.count("mem").alias("n"))
+        seconds = F.when(F.col("timed") >= self.min_data, F.col("longest")).otherwise(F.lit(0.0))
+        return found.where(F.col("n") >= self.min_data).select(by, "mem", seconds.alias("seconds"), "n")
 
     def predict(self, wanted: DataFrame, tasks: DataFrame) -> DataFrame:
         """wanted (id, img_cmd_id, ident) with predicted mem and seconds; null if neither group has enough data."""
@@ -217,17 +224,19 @@ def _like(pattern: str):
 
 
 def label_filter(expression: str, labels: str = "labels") -> Column:
-    """Whether labels match: alternatives are set off by blanks, conditions by commas, and ! negates; each is a pattern on 'key=value'."""
+    """Whether labels match: alternatives are set off by blanks, conditions by commas, and ! negates.
+
+    Each condition is a pattern on 'key=value' that some label matches, or with ! none does.
+    """
     pairs = F.transform(F.map_entries(labels), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     out = F.lit(False)
-    for alternative in expression.split():
+    for alternative in expression.split(" "):
         every = F.lit(True)
-        for term in filter(None, alternative.split(",")):
-            negate, pattern = term.startswith("!"), term.lstrip("!")
-            found = F.exists(pairs, _like(pattern))
-            every = every & (~found if negate else found)
+        for term in alternative.split(","):
+            found = F.exists(pairs, _like(term.removeprefix("!")))
+            every = every & (~found if term.startswith("!") else found)
         out = out | every
-    return out if expression.strip() else F.lit(True)
+    return out
 
 
 def images(tasks: DataFrame) -> DataFrame:

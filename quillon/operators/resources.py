@@ -20,16 +20,29 @@ def sub(a: Resources, b: Resources) -> Resources:
 
 
 def least(a: Resources, b: Resources) -> Resources:
-    """The lesser of each; an amount that one side lacks is nothing there."""
-    return {k: min(a.get(k, 0.0), b.get(k, 0.0)) for k in {*a, *b}}
+    """a, lowered to b where b has less; what only a has stays, and what only b has counts if it is below nothing."""
+    return a | {k: v for k, v in b.items() if v < a.get(k, 0.0)}
 
 
 def most(a: Resources, b: Resources) -> Resources:
-    return {k: max(a.get(k, 0.0), b.get(k, 0.0)) for k in {*a, *b}}
+    """a, raised to b where b has more."""
+    return a | {k: v for k, v in b.items() if v > a.get(k, 0.0)}
 
 
-def scale(a: Resources, factor: float | Resources) -> Resources:
-    return {k: v * (factor if isinstance(factor, (int, float)) else factor.get(k, 0.0)) for k, v in a.items()}
+def scale(a: Resources, factor: float) -> Resources:
+    return {k: v * factor for k, v in a.items()}
+
+
+def ratios(a: Resources, b: Resources) -> Resources:
+    """a over b for what both have; nothing over nothing is no number."""
+    out = {}
+    for k in a.keys() & b.keys():
+        out[k] = a[k] / b[k] if b[k] else math.nan if not a[k] else math.copysign(math.inf, a[k])
+    return out
+
+
+def max_ratio(a: Resources, b: Resources) -> float:
+    return max([0.0, *(v for v in ratios(a, b).values() if v > 0)])
 
 
 def available(have: Resources, want: Resources) -> bool:
@@ -41,26 +54,27 @@ def equal(a: Resources, b: Resources) -> bool:
     return all(a.get(k, 0.0) == b.get(k, 0.0) for k in {*a, *b})
 
 
-#: What weighs one in the distance.
-SCALES = {"mem": 1 << 30, "cpu": 1.0, "disk": 1 << 30}
+#: Memory that weighs as much as one core.
+MEM_PER_CPU = 8 << 30
 
 
 def scaled_distance(a: Resources, b: Resources) -> float:
-    """Euclidean distance with every resource in its own unit."""
-    return math.sqrt(sum(((a.get(k, 0.0) - b.get(k, 0.0)) / unit) ** 2 for k, unit in SCALES.items()))
+    """How far apart two amounts are, in cores: memory counts by what usually goes with a core."""
+    return abs(a.get("mem", 0.0) - b.get("mem", 0.0)) / MEM_PER_CPU + abs(a.get("cpu", 0.0) - b.get("cpu", 0.0))
 
 
 @dataclass
 class Requirements:
-    """What a plan needs at least, and how many such shares it can use at once."""
+    """The least amount that will do, and how many more such shares can be used at once."""
 
     min: Resources = field(default_factory=dict)
     width: int = 0
 
     def add_parallel(self, r: Resources) -> None:
         """A step beside the others."""
+        some = any(self.min.values())
         self.min = most(self.min, r)
-        self.width += 1
+        self.width += some
 
     def add_serial(self, r: Resources) -> None:
         """A step after the others."""
@@ -68,11 +82,11 @@ class Requirements:
 
     def add(self, other: Requirements) -> None:
         self.min = most(self.min, other.min)
-        self.width = max(self.width, other.width)
+        self.width += other.width
 
     def max(self) -> Resources:
         """What all shares need together."""
-        return scale(self.min, max(1, self.width))
+        return scale(self.min, 1 + self.width)
 
 
 def totals(rows: DataFrame, column: str = "resources", *by: str) -> DataFrame:

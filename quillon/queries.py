@@ -679,12 +679,12 @@ def list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TASKS}, n AS (SELECT ident, seconds, row_number() OVER (PARTITION BY ident ORDER BY e DESC, id) AS r FROM k WHERE e IS NOT NULL),
-m AS (SELECT ident, list_sort(list(seconds)) AS l, count(*) AS c FROM n WHERE r <= 50 GROUP BY 1)
-SELECT ident, l[CAST(ceil(c * 95 / 100.0) AS BIGINT)] AS seconds, c AS n FROM m"""
+    f"""WITH {_TASKS}, n AS (SELECT ident, seconds, CAST(trunc(seconds * 1000) AS BIGINT) AS mem, row_number() OVER (PARTITION BY ident ORDER BY e DESC, id) AS r FROM k WHERE e IS NOT NULL),
+m AS (SELECT ident, list_sort(list(mem)) AS l, count(*) AS c, max(seconds) AS s FROM n WHERE r <= 50 GROUP BY 1)
+SELECT ident, CAST(l[CAST(ceil(c * 95 / 100.0) AS BIGINT)] AS DOUBLE) AS mem, s AS seconds, c AS n FROM m WHERE c >= 5"""
 )
-def predict_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.Predictor().model(tasks_of(spark, sf_dir), "ident").select("ident", "seconds", "n")
+def predict_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.Predictor().model(tasks_of(spark, sf_dir), "ident")
 
 
 @query(

@@ -242,10 +242,13 @@ def test_nearest_rank(spark, p, want):
 
 def test_prediction(spark):
     t = task_rows(spark)
-    p = metadata.Predictor(min_data=2, max_inspect=2, mem_percentile=100, time_percentile=50)
+    p = metadata.Predictor(min_data=2, max_inspect=2, mem_percentile=100)
     wanted = spark.createDataFrame([("w1", "ic1", "id1"), ("w2", "ic2", "id1"), ("w3", "zz", "zz")], "id string, img_cmd_id string, ident string")
     got = {r["id"]: (r["mem"], r["seconds"]) for r in p.predict(wanted, t).collect()}
-    assert got == {"w1": (10.0, 5.0), "w2": (30.0, 5.0), "w3": (None, None)}
+    assert got == {"w1": (30.0, 7.0), "w2": (30.0, 7.0), "w3": (None, None)}, "one of two tasks of ic1 has ended, so the ident decides"
+    bad = t.withColumn("mem", F.when(F.col("id") == "aa1", -1.0).otherwise(F.col("mem")))
+    assert p.model(bad, "ident").count() == 0
+    assert metadata.Predictor(min_data=1).model(t, "img_cmd_id").count() == 2
 
 
 def test_summary_and_allocation(spark):
@@ -260,21 +263,23 @@ def test_summary_and_allocation(spark):
 def test_labels(spark):
     rows = spark.createDataFrame([("1", {"a": "x", "b": "y"}), ("2", {"a": "z"})], "id string, labels map<string,string>")
     ids = lambda e: [r["id"] for r in rows.where(metadata.label_filter(e)).collect()]
-    assert ids("a=x") == ["1"] and ids("a=x a=z") == ["1", "2"] and ids("a=,b=y") == ["1"] and ids("!b=") == ["2"] and ids("") == ["1", "2"]
+    assert ids("a=x") == ["1"] and ids("a=x a=z") == ["1", "2"] and ids("a=,b=y") == ["1"] and ids("!b=") == ["2"] and ids("") == ["1", "2"] and ids("a=x,!b=") == []
 
 
 def test_resources(spark):
     R = resources
     a, b = {"mem": 10.0, "cpu": 1.0}, {"mem": 4.0, "disk": 2.0}
     assert R.add(a, b) == {"mem": 14.0, "cpu": 1.0, "disk": 2.0} and R.sub(a, b) == {"mem": 6.0, "cpu": 1.0, "disk": -2.0}
-    assert R.most(a, b) == {"mem": 10.0, "cpu": 1.0, "disk": 2.0} and R.least(a, b) == {"mem": 4.0, "cpu": 0.0, "disk": 0.0}
+    assert R.most(a, b) == {"mem": 10.0, "cpu": 1.0, "disk": 2.0} and R.least(a, b) == {"mem": 4.0, "cpu": 1.0}
     assert R.available(a, {"mem": 9.0}) and not R.available(a, b) and R.equal({"x": 0.0}, {})
-    assert R.scale(a, 2) == {"mem": 20.0, "cpu": 2.0} and R.scaled_distance({"cpu": 3.0, "mem": 4 * 2.0**30}, {}) == 5.0
+    assert R.scale(a, 2) == {"mem": 20.0, "cpu": 2.0} and R.scaled_distance({"cpu": 3.0, "mem": 16 * 2.0**30}, {"cpu": 4.0}) == 3.0
     q = R.Requirements()
     q.add_parallel({"mem": 2.0})
     q.add_parallel({"mem": 3.0})
     q.add_serial({"cpu": 1.0})
     assert q.max() == {"mem": 6.0, "cpu": 2.0}
+    q.add(R.Requirements({"mem": 1.0}, 2))
+    assert q.width == 3 and R.ratios({"a": 4.0, "b": 1.0}, {"a": 2.0}) == {"a": 2.0} and R.max_ratio({"a": 4.0}, {"a": 2.0}) == 2.0
     rows = spark.createDataFrame([({"mem": 1.0},), ({"mem": 3.0, "cpu": 1.0},)], "resources map<string,double>")
     assert {r["resource"]: r["total"] for r in R.totals(rows).collect()} == {"mem": 4.0, "cpu": 1.0}
 
@@ -283,6 +288,15 @@ def test_retry_and_errors():
     r = metadata.Retry()
     assert [r.after_oom(100.0), r.after_oom(100.0, 900.0), r.after_oom(1e15), r.after_oom(1.0)] == [150.0, 900.0, float(800 << 30), None]
     E = EngineError
-    assert transient(E(Kind.TIMEOUT)) and restartable(E(Kind.NET)) and not restartable(E(Kind.EVAL)) and non_retryable(E(Kind.FATAL))
-    many = E(Kind.MULTIPLE, "", E(Kind.NET), E(Kind.FATAL))
-    assert not restartable(many) and non_retryable(many) and not transient(ValueError())
+    assert transient(E(Kind.TIMEOUT)) and not transient(E(Kind.CANCELED)) and restartable(E(Kind.NET)) and not restartable(E(Kind.EVAL))
+    assert non_retryable(E(Kind.FATAL)) and not non_retryable(E(Kind.NOT_ALLOWED)) and restartable(TimeoutError()) and not transient(ValueError())
+
+    def chain(*kinds):
+        error = None
+        for k in reversed(kinds):
+            e = E(k)
+            e.__cause__ = error
+            error = e
+        return error
+
+    assert restartable(chain(Kind.EVAL, Kind.NET)) and not restartable(chain(Kind.FATAL, Kind.NET)) and not restartable(chain(Kind.EVAL, Kind.OTHER)) and len(Kind) == 19

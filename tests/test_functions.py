@@ -193,7 +193,7 @@ def test_group_count(pattern, n):
     assert regexps.group_count(pattern) == n
 
 
-@pytest.mark.parametrize("p,base,dir_,ext", [("s3://foo/bar/baz.ext", "baz.ext", "s3://foo/bar", ".ext"), ("", ".", ".", ""), ("///", "/", "//", ""), ("a", "a", ".", ""), ("/a", "a", "/", ""), ("a.b/c", "c", "a.b", "")])
+@pytest.mark.parametrize("p,base,dir_,ext", [("s3://foo/bar/baz.ext", "baz.ext", "s3://foo/bar", ".ext"), ("", ".", "", ""), ("///", "/", "//", ""), ("a", "a", "", ""), ("/a", "a", "/", ""), ("a.b/c", "c", "a.b", "")])
 def test_paths(value, p, base, dir_, ext):
     assert (value(paths.base(L(p))), value(paths.dirname(L(p))), value(paths.ext(L(p)))) == (base, dir_, ext)
 
