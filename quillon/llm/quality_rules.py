@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
     "a an and are as at be but by for from had has have he her his i in is it not of on or she that the they this to was we were which will with you "
@@ -133,11 +135,29 @@ def verdict(rule: Rule, f: Column) -> Column:
     return bad
 
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the figures, ``base_failed``, ``failed`` (names of the failed rules) and ``kept``.
+
+    It is one expression that computes each figure once. A filter on ``kept`` that the
+    optimizer moves below the projection so copies the work once and not for each rule.
+    """
+
+    def verdicts(f: Column) -> Column:
+        failed = F.array_compact(F.array(*[F.when(verdict(r, f), F.lit(r.name)) for r in rules]))
+        base = F.array(*[F.lit(x) for x in BASE])
+        return let(
+            failed,
+            lambda x: F.struct(*[f[n].alias(n) for n in NAMES], F.arrays_overlap(x, base).alias("base_failed"), x.alias("failed"), (F.size(x) == 0).alias("kept")),
+        )
+
+    return let(figures(text), verdicts)
+
+
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the figures, ``base_failed``, ``failed`` (names of the failed rules) and ``kept``."""
-    out = docs.withColumn("__figures", figures(F.col(text)))
-    f = F.col("__figures")
-    names = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
-    failed = F.array_compact(F.array(*[F.when(verdict(r, f), F.lit(r.name)) for r in rules]))
-    out = out.withColumn("__failed", failed).withColumn("__base", F.arrays_overlap("__failed", F.array(*[F.lit(x) for x in BASE])))
-    return out.withColumns({n: f[n] for n in names} | {"base_failed": F.col("__base"), "failed": F.col("__failed"), "kept": F.size("__failed") == 0}).drop("__figures", "__failed", "__base")
+    """docs with the fields of their judgement as columns."""
+    found = free_name(docs.columns, "judgement")
+    out = docs.withColumn(found, judgement(F.col(text), rules))
+    return out.withColumns({n: F.col(found)[n] for n in (*NAMES, "base_failed", "failed", "kept")}).drop(found)
