@@ -344,3 +344,12 @@ def test_trace(spark):
 
     df, seen = trace(spark.range(4), "t", total=F.sum("id"))
     assert df.count() == 4 and seen.get == {"rows": 4, "total": 6}
+
+
+def test_standard_library(value):
+    from quillon.plans import stdlib
+
+    assert value(stdlib.find("strings.HasPrefix")(F.lit("abc"), "ab")) and value(stdlib.find("int")(F.lit(2.9))) == 2
+    assert modules.REGISTRY["path.Base"] is stdlib.find("path.Base") and "Chunk: Chunks of at most" in stdlib.doc("strings")
+    with pytest.raises(KeyError):
+        stdlib.find("strings.Nonsense")
