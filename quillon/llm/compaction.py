@@ -10,9 +10,9 @@ readers see either version whole, and of two writers one must retry. Replaced
 shards stay until ``vacuum``.
 
 All of it is DataFrame functions on rows and on manifests; the driver holds
-tier totals, at most 64 rows, and the paths of one compaction or one read, which
-are a path for each file of some 128 MB, or ``MOST_FILES`` in a compaction; what
-is above that waits for the next round. On an object store without an atomic
+tier totals, at most 64 rows, and the paths of one compaction, at most ``MOST_FILES`` in
+``MOST_RUNS`` runs, or of one read, one for each file of some 128 MB; what is above
+that waits for the next round, which callers repeat until nothing is ripe. On an object store without an atomic
 rename the commit needs a store that has put-if-absent.
 
 Defined results: an empty arrival adds nothing and commits nothing; rows, nulls,
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,11 @@ FANOUT = 4
 #: Bytes of the lowest tier.
 BASE = 64 << 10
 MOST_FILES = 50_000
+MOST_RUNS = 256
 #: Shards that one run is planned among, at most on average.
 PLANNED = 10_000
 
+_UNION = "spark.sql.unionOutputPartitioning"
 MANIFEST = "path string, rows long, bytes long"
 
 
@@ -116,51 +119,46 @@ class Table:
             return version
         return self.commit(self.manifest(version).unionByName(new), version + 1)
 
-    def plan(self, target: int = TARGET, fanout: int = FANOUT, version: int | None = None) -> tuple[DataFrame, int]:
-        """((path, rows, bytes, run) of shards to merge, number of runs)."""
+    def plan(self, target: int = TARGET, fanout: int = FANOUT, version: int | None = None) -> DataFrame:
+        """(path, rows, bytes, run) of shards to merge: a run is what one file will hold."""
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / F.lit(float(BASE))) / F.log(F.lit(float(fanout))))).cast("int")
         small = self.manifest(version).where(F.col("bytes") < target * 3 // 4).withColumn("tier", tier)
-        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).orderBy("tier").collect()  # a row for each tier
-        ripe, files = [], 0
-        for t in tiers:
-            if t["n"] >= fanout and (not files or files + t["n"] <= MOST_FILES):
-                ripe.append(t)
-                files += t["n"]
-        if not ripe:
-            return small.withColumn("run", F.lit(0)).limit(0), 0
-        small = small.where(F.col("tier").isin([t["tier"] for t in ripe]))
+        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fanout).orderBy("tier").collect()  # a row for each tier
         # Each tier is dealt into parts of bounded length, and a part's shards are summed up to the target.
         parts = F.lit(1)
-        for t in ripe:
+        for t in tiers:
             parts = F.when(F.col("tier") == t["tier"], F.lit(t["n"] // PLANNED + 1)).otherwise(parts)
         part = F.pmod(F.xxhash64("path"), parts.cast("long"))
         upto = F.sum("bytes").over(Window.partitionBy("tier", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-        runs = small.withColumn("part", part).withColumn("step", F.floor(F.coalesce(upto, F.lit(0)) / F.lit(target)))
-        key = F.struct("tier", "part", "step")
-        most = sum(t["n"] // PLANNED + 1 + t["bytes"] // target + 1 for t in ripe)
-        return runs.withColumn("run", F.xxhash64(key)).select("path", "rows", "bytes", "run"), int(most)
+        ripe = small.where(F.col("tier").isin([t["tier"] for t in tiers])).withColumn("part", part)
+        runs = ripe.withColumn("run", F.struct("tier", "part", F.floor(F.coalesce(upto, F.lit(0)) / F.lit(target)).alias("step")))
+        return runs.select("path", "rows", "bytes", "run")
 
     def compact(self, target: int = TARGET, fanout: int = FANOUT) -> int | None:
-        """Merge the runs that are ripe; the new version, or None if there is none."""
+        """Merge up to ``MOST_RUNS`` runs that are ripe; the new version, or None if there is none.
+
+        A run's shards are read by one task and written as one file, so no row is shuffled.
+        """
         version = (self.versions() or [0])[-1]
-        planned, runs = self.plan(target, fanout, version)
-        if not runs:
+        runs: dict[tuple, list[str]] = {}
+        for r in self.plan(target, fanout, version).orderBy("run", "path").limit(MOST_FILES).collect():
+            runs.setdefault(tuple(r["run"]), []).append(r["path"])
+        merged = [paths for paths in runs.values() if len(paths) > 1][:MOST_RUNS]
+        if not merged:
             return None
-        planned = planned.limit(MOST_FILES) if planned.count() > MOST_FILES else planned
-        paths = [r["path"] for r in planned.select("path").collect()]  # MOST_FILES at most
-        rows = self.spark.read.parquet(*paths)
-        names = rows.columns
-        run = "_run"
-        while run in names:
-            run = "_" + run
-        held = planned.select(F.col("path").alias(f"{run}_path"), F.col("run").alias(run))
-        rows = rows.withColumn(f"{run}_file", F.col("_metadata.file_path"))
-        merged = rows.join(F.broadcast(held), F.col(f"{run}_file") == F.col(f"{run}_path")).select(*names, run)
+        schema = self.spark.read.parquet(merged[0][0]).schema
+        scans = [self.spark.read.schema(schema).parquet(*paths).coalesce(1) for paths in merged]
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        merged.repartition(runs, run).write.partitionBy(run).parquet(folder)
-        new = self._written(folder)
-        rest = self.manifest(version).join(planned.select("path"), "path", "left_anti")
-        return self.commit(rest.unionByName(new), version + 1)
+        # By default a union of parts of one partition each has one partition itself.
+        known = self.spark.conf.get(_UNION, "true")
+        self.spark.conf.set(_UNION, "false")
+        try:
+            reduce(DataFrame.unionByName, scans).write.parquet(folder)
+        finally:
+            self.spark.conf.set(_UNION, known)
+        gone = self.spark.createDataFrame([(p,) for paths in merged for p in paths], "path string")
+        rest = self.manifest(version).join(gone, "path", "left_anti")
+        return self.commit(rest.unionByName(self._written(folder)), version + 1)
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete shards and manifests that only versions before the last ``keep`` use; how many shards."""
