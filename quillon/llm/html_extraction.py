@@ -2,9 +2,10 @@
 
 A page becomes blocks of text. The words of a host's pages are concatenated and
 their suffixes sorted to a depth of ``RUN`` words by prefix doubling; a run of so
-many words that stands on two distinct pages is a repeat, and all words that
-repeats cover are boilerplate candidates. Where mark-up says nothing, a block
-that repeats cover by more than half goes and unique runs stay.
+many words that stands on two distinct pages, and on ``SHARE`` of the pages, is a
+repeat, and all words that repeats cover are boilerplate candidates. Where mark-up says
+nothing, a block that repeats cover by more than half goes and unique runs stay.
+Pages of one content count as one page, so a copied page is not its own boilerplate.
 
 Repeats alone can't give right results here: articles that are copied between
 pages, or quote one passage, repeat as menus do. So blocks inside ``article``
@@ -25,6 +26,7 @@ cut; extra columns do not matter.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import numpy as np
@@ -37,6 +39,8 @@ from .common import mix, text_chunks, words
 
 RUN = 8
 GROUP = 64
+#: Least share of a group's pages that boilerplate is on.
+SHARE = 0.05
 #: Rows of hosts with more pages than a group up to which they are broadcast.
 BROADCAST_HOSTS = 100_000
 
@@ -56,45 +60,64 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text.
 _OUT = frozenset("nav aside footer form button dialog menu search label fieldset select datalist template svg math object canvas audio video".split())
-#: Words of a class, id or role that name what surrounds an article.
+#: Words of a class, id or role that name what surrounds an article; an article inside is one all the same.
 _HINTS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer contentinfo complementary banner masthead topbar toolbar ad ads advert advertisement adverts advertising sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus replies reply respond discussion "
-    "related recommended recommendations widget widgets pagination pager copyright disclaimer skip hidden".split()
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
+    "related recommended recommendations widget widgets pagination pager copyright disclaimer skip".split()
 )
+#: Words that name readers' comments, which may be articles of their own.
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: First words of a name that says what a part has or lacks, not what it is.
+_ASIDE = frozenset("has with without no is hide show".split())
 
 
-def _named(tag: str, raw: str) -> bool:
-    """Whether a start tag's attributes name something other than content."""
+def _named(tag: str, raw: str) -> int:
+    """What a start tag's attributes say: 0 nothing, 1 a part around the article, 2 comments or hidden."""
+    found = 0
     for key, value in _ATTR.findall(raw):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not _HINTS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id", "role") and tag not in ("html", "body"):
+            for name in value.split():
+                parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+                if not parts or parts[0] in _ASIDE:
+                    continue
+                if not _COMMENTS.isdisjoint(parts):
+                    return 2
+                if not _HINTS.isdisjoint(parts):
+                    found = 1
+    return found
 
 
-OPEN, IN, AWAY = 0, 1, 2
+OPEN, IN, AWAY, AROUND = 0, 1, 2, 3
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(state, text) of each block of a page, in order: IN an article, AWAY from it by mark-up, or OPEN."""
+    """(state, text) of each block of a page, in order: IN an article, AWAY from it by mark-up, or OPEN.
+
+    A block outside an article that is mostly links is AWAY too.
+    """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    state, text = OPEN, []
+    state, text, linked, links = OPEN, [], False, 0
 
     def flush() -> None:
+        nonlocal links
         if text:
             line = " ".join("".join(text).split())
             if line:
-                out.append((state, line))
+                out.append((AWAY if state == AROUND or state == OPEN and 2 * links > len(line) else state, line))
             text.clear()
+            links = 0
 
     for m in _TOKEN.finditer(page or ""):
         raw = m.group()
         if raw[0] != "<" or raw == "<":
             text.append(entities.unescape(raw) if "&" in raw else raw)
+            if linked:
+                links += len(text[-1])
             continue
         if m.group(1):
             continue
@@ -105,6 +128,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if tag == "br":
             text.append(" ")
             continue
+        if tag == "a":
+            linked = raw[1] != "/"
+            continue
         if tag in _BLOCK or tag in _OUT:
             flush()
         if raw[1] == "/":
@@ -123,11 +149,13 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             while stack and (stack[-1][0] == tag or stack[-1][0] not in _BLOCK and stack[-1][0] not in _OUT):
                 stack.pop()
             state = stack[-1][1] if stack else OPEN
-        now = state
-        if state == AWAY or tag in _OUT or tag == "header" and state != IN or _named(tag, raw):
+        now, said = state, _named(tag, raw)
+        if state == AWAY or tag in _OUT or tag == "header" and state != IN or said == 2:
             now = AWAY
         elif tag in ("article", "main"):
             now = IN
+        elif said:
+            now = AROUND
         if now != state:
             flush()
         stack.append((tag, now))
@@ -136,8 +164,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeats(texts: list[str], page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Of each text, the share of its words that runs found on two pages or more cover.
+def repeats(texts: list[str], page: np.ndarray, run: int = RUN, least: int = 2) -> np.ndarray:
+    """Of each text, the share of its words that runs found on ``least`` pages or more cover.
 
     ``page`` numbers the page of each text; texts of a page are in its order and follow one another.
     """
@@ -163,10 +191,11 @@ def repeats(texts: list[str], page: np.ndarray, run: int = RUN) -> np.ndarray:
         after = np.where(left >= step, rank[np.minimum(np.arange(n) + step, n - 1)], 0)
         rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
         depth += step
-    array = np.argsort(rank, kind="stable")
+    array = np.lexsort((of, rank))
     sorted_rank, pages = rank[array], of[array]
-    first = np.flatnonzero(np.r_[True, sorted_rank[1:] != sorted_rank[:-1]])
-    spans = np.minimum.reduceat(pages, first) != np.maximum.reduceat(pages, first)
+    starts = np.r_[True, sorted_rank[1:] != sorted_rank[:-1]]
+    first = np.flatnonzero(starts)
+    spans = np.add.reduceat(starts | np.r_[True, pages[1:] != pages[:-1]], first, dtype=np.int64) >= least
     again = np.zeros(n, bool)
     again[array] = np.repeat(spans, np.diff(np.r_[first, n]))
     again &= left >= run - 1
@@ -182,16 +211,21 @@ def repeats(texts: list[str], page: np.ndarray, run: int = RUN) -> np.ndarray:
 def extract_group(pages: pd.DataFrame) -> pd.DataFrame:
     """Main texts of a group of pages (page_id, url, html) of one host."""
     parts = [blocks(h) for h in pages["html"]]
-    numbers = pd.factorize(pages["page_id"], use_na_sentinel=False)[0]
-    flat = [t for p in parts for _, t in p]
-    order = np.argsort(numbers, kind="stable")
-    # Repeated rows of a page count as that page.
+    # Rows of one page, and pages of one content, count as one page: one of them stands for all.
+    ids = pd.factorize(pages["page_id"], use_na_sentinel=False)[0]
+    first: dict[object, int] = {}
+    alike = [first.setdefault(i, k) for k, i in enumerate(ids)]
+    content = ["\n".join(t for s, t in p if s != AWAY) for p in parts]
+    for i, c in enumerate(content):
+        if c:
+            alike[i] = min(alike[i], first.setdefault(c, alike[i]))
+    order = np.argsort(np.array(alike), kind="stable")
     starts = np.cumsum([0, *map(len, parts)])
-    sorted_texts = [flat[k] for i in order for k in range(starts[i], starts[i + 1])]
-    sorted_pages = np.array([numbers[i] for i in order for _ in parts[i]], np.int64)
-    share_sorted = repeats(sorted_texts, sorted_pages)
+    at = [k for i in order for k in range(starts[i], starts[i + 1])]
+    flat = [t for p in parts for _, t in p]
+    numbers = np.array([alike[i] for i in order for _ in parts[i]], np.int64)
     share = np.zeros(len(flat))
-    share[[k for i in order for k in range(starts[i], starts[i + 1])]] = share_sorted
+    share[at] = repeats([flat[k] for k in at], numbers, least=max(2, math.ceil(SHARE * len(set(alike)))))
     texts, repeated, unique = [], [], []
     for i, p in enumerate(parts):
         has = any(s == IN for s, _ in p)
