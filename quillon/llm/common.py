@@ -20,30 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound an Arrow batch by rows and bytes, so long texts stay within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is named, as in tests."""
+    """This application's folder on the store that the cluster shares; a local one only where none is named, as in tests."""
+    app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _local.setdefault(spark.sparkContext.applicationId, named)
-        named = _local[spark.sparkContext.applicationId]
-    return f"{named}/quillon-{spark.sparkContext.applicationId}"
+        named = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quillon-"))
+    return f"{named}/quillon-{app}"
 
 
-_local: dict[str, str] = {}
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, when no result that reads them is needed any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
     ``put`` writes one and reads it back. ``drop`` removes one that a later
-    one has replaced. Tables still needed by a lazy result stay until the
-    folder, which carries the application's id, is cleared.
+    one has replaced. Tables that a lazy result may still read stay until
+    ``clear_scratch``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
