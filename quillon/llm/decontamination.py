@@ -3,9 +3,14 @@
 ``postings`` are (document, term, position) rows of the training tokens. A
 benchmark window is looked up from its rarest term: the postings of that term
 give aligned places (position minus the term's offset), and the other terms'
-positions are intersected at those places. Only terms that some window needs
-are posted, and only those chosen as a window's rarest leave the document;
-windows with a term that no document has are dropped before.
+positions are intersected at those places. Windows with a term that no document has
+are dropped before.
+
+There are two ways. ``build_index`` stores all postings, and ``search`` intersects
+the stored lists: for a corpus that is searched again and again. ``phrases`` goes over the documents
+once for one set of items: it posts only the terms that are some window's
+rarest, and the other terms are intersected in the words around each posting, before
+it leaves the document; so no list of a frequent term is ever built.
 
 All of it is DataFrame functions. Terms of the benchmark are broadcast while
 their number is below ``BROADCAST_TERMS``; beyond, the same join shuffles. Frequent
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import Scratch, ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,11 +53,11 @@ def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_TERMS else df
 
 
-def look_up(posted: DataFrame, table: DataFrame, n: int) -> DataFrame:
+def look_up(posted: DataFrame, table: DataFrame, n: int, salt: Column | None = None) -> DataFrame:
     """posted joined with a table on ``term``; salted where the table is too large to broadcast."""
     if n <= BROADCAST_TERMS:
         return posted.join(F.broadcast(table), "term")
-    posted = posted.withColumn("salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)))
+    posted = posted.withColumn("salt", F.pmod(F.xxhash64("pos" if "pos" in posted.columns else "n") if salt is None else salt, F.lit(SALTS)))
     return posted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long")), ["term", "salt"]).drop("salt")
 
 
@@ -66,12 +71,13 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", widt
 def anchors(posted: DataFrame, found: DataFrame) -> DataFrame:
     """(term, item_id, item_words, size, at, starts): each window under its rarest term.
 
-    ``at`` is the term's place in the item and ``starts`` are the windows that it
-    stands for. Windows with a term that occurs nowhere are left out.
+    posted: (term, n) rows whose sum of n is how often a term occurs. ``at`` is the term's place in
+    the item and ``starts`` are the windows that it stands for. Windows with a term that
+    occurs nowhere are left out.
     """
     terms = found.select(F.explode("item_words").alias("term")).distinct()
     n = terms.count()
-    often = look_up(posted.select("term", "pos"), terms, n).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    often = look_up(posted, terms, n).groupBy("term").agg(F.sum("n").alias("df"))
     at = found.select("item_id", "item_words", "size", "starts", F.posexplode("item_words").alias("at", "term")).join(small(often, n), "term", "left")
     ranked = at.groupBy("item_id", "item_words", "size", "starts").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("r"))
     each = ranked.select("item_id", "item_words", "size", "r", F.explode("starts").alias("start"))
@@ -83,6 +89,32 @@ def anchors(posted: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def build_index(docs: DataFrame, keys: list[str], path: str, text: str = "text", buckets: int = 64) -> None:
+    """Store the positional index of docs: (term, keys, positions), in folders by a hash of the term."""
+    posted = postings(docs.select(*keys, word_list(F.col(text)).alias("words")), keys, "words").where(F.col("term").isNotNull())
+    lists = posted.groupBy("term", *keys).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    lists.withColumn("bucket", _bucket(buckets)).write.partitionBy("bucket").parquet(path)
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")
+
+
+def search(index: DataFrame, items: DataFrame, keys: list[str], width: int = WIDTH, slop: int = 0) -> DataFrame:
+    """(keys, item_id, start, size): what ``phrases`` finds, from a stored index of the documents."""
+    found = windows(items, width=width)
+    terms = found.select(F.explode("item_words").alias("term")).distinct()
+    lists = look_up(index.select("term", *keys, "positions"), terms, terms.count(), salt=F.xxhash64(*keys))
+    table = anchors(lists.select("term", F.size("positions").cast("long").alias("n")), found)
+    near = look_up(lists, table, table.count(), salt=F.xxhash64(*keys)).select(*keys, "item_id", "item_words", "size", "at", "starts", F.explode("positions").alias("pos"))
+    place = near.select(*keys, "item_id", "item_words", "size", F.explode("starts").alias("s"), "pos", "at").withColumn("start", F.col("pos") - F.col("at") + F.col("s")).where(F.col("start") >= 0)
+    # Every term of the window at its place: the list of each, shifted by its offset, has to have the start.
+    wanted = place.select(*keys, "item_id", "start", "size", "s", F.posexplode(F.slice("item_words", F.col("s") + 1, F.col("size"))).alias("i", "term"))
+    met = wanted.join(lists, ["term", *keys]).where(F.exists("positions", lambda p: F.abs(p - F.col("start") - F.col("i")) <= slop))
+    whole = met.groupBy(*keys, "item_id", "start", "size", "s").agg(F.count_distinct("i").alias("n")).where(F.col("n") == F.col("size"))
+    return whole.select(*keys, "item_id", "start", "size").distinct()
+
+
 def phrases(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", width: int = WIDTH, slop: int = 0) -> DataFrame:
     """(keys, item_id, start, size): where windows of the items occur in docs.
 
@@ -91,7 +123,8 @@ def phrases(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "tex
     """
     docs = docs.select(*keys, word_list(F.col(text)).alias("words"))
     posted = postings(docs, keys, "words")
-    table = anchors(posted, windows(items, width=width))
+    # Written, as counting and joining it would each read all documents again. It has a row for each item and anchor.
+    table = Scratch(docs.sparkSession, "anchors").put(anchors(posted.select("term", "pos", F.lit(1).alias("n")), windows(items, width=width)), "anchors")
     near = look_up(posted, table, table.count())
 
     def place(s: Column) -> Column:  # of the window's first word in the document
@@ -103,7 +136,7 @@ def phrases(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "tex
         around = lambda i: F.slice("words", F.greatest(place(s) + i - slop, F.lit(0)) + 1, F.lit(2 * slop + 1) - F.greatest(slop - place(s) - i, F.lit(0)))
         return F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.array_contains(around(i), F.get("item_words", s + i)))
 
-    inside = lambda s: (place(s) >= 0) & (place(s) + F.col("size") <= F.size("words"))
+    inside = lambda s: (place(s) >= 0) & (F.lit(bool(slop)) | (place(s) + F.col("size") <= F.size("words")))
     hits = F.filter("starts", lambda s: F.when(inside(s), same(s)).otherwise(F.lit(False)))
     found = near.select(*keys, "item_id", "size", F.transform(hits, place).alias("hits"))
     # The outer form again: else the optimizer tests hits inside the join, which then copies words for every posting.

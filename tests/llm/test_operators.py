@@ -83,6 +83,9 @@ def test_markup():
     <main><h1>A &amp; B</h1><p>One <b>two</b>\n three<p>Four&nbsp;x<div class="ad">buy</div><ul><li>a<li>b</ul><section id="comments"><p>troll</p></section>
     <form><p>Name</p><input></form><footer>by me</footer><p hidden>secret</p><script>var t="</p>";</script></main><aside>side</aside><!-- note --></body>"""
     assert [t for s, t in html_extraction.blocks(page) if s == html_extraction.IN] == ["A & B", "One two three", "Four x", "a", "b"]
+    nested = '<div class="banner wrap"><p>x</p><article class="post promo"><p>in</p><article class="comment"><p>troll</p></article></article></div><div class="has-sidebar"><p>open</p></div><div id=comments><article>no</article></div>'
+    assert html_extraction.blocks(nested) == [(2, "x"), (1, "in"), (2, "troll"), (0, "open"), (2, "no")]
+    assert html_extraction.blocks("<div><a href=x>Home</a> <a>News</a></div><p>See <a>this</a> for all the details</p>") == [(2, "Home News"), (0, "See this for all the details")]
     assert html_extraction.blocks(None) == [] and html_extraction.blocks("a < b") == [(0, "a < b")] and html_extraction.blocks("<script>x") == []
     assert html_extraction.blocks("<p>&lt;b&gt; &#233; &unknown;") == [(0, "<b> é &unknown;")]
 
@@ -129,6 +132,8 @@ def test_unique_runs_stay(spark):
     assert len(got) == len(rows) and text[90] == {"hello"} and text[91] == text[92] == {""}
     big = html_extraction.extract(pages(spark, *rows)).collect()
     assert all(r["text"] == body(r["page_id"]) for r in big if r["page_id"] < 6)
+    copies = [(i, "https://c.example/", f"<body><div>{body(1)}</div><p>{body(2)}</p></body>") for i in range(3)]
+    assert {r["text"] for r in html_extraction.extract(pages(spark, *copies)).collect()} == {body(1) + "\n\n" + body(2)}
     assert html_extraction.extract(pages(spark, (1, "u", "x")).limit(0)).count() == 0
 
 
@@ -507,12 +512,26 @@ def test_proximity(spark):
     assert ids(0) == [2] and ids(1) == [1, 2]
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_stored_index(spark, tmp_path, docs, sf_dir, monkeypatch, broadcast):
+    """Searching a stored index and going over the documents find the same."""
+    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", broadcast)
+    keyed = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, "the the of"), (-2, None)], "item_id long, text string"))
+    decontamination.build_index(keyed, ["doc_id"], str(tmp_path / "index"), buckets=4)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "item_id", "start", "size").collect())
+    for width, slop in ((13, 0), (4, 0), (4, 2)):
+        assert rows(decontamination.search(index, items, ["doc_id"], width, slop)) == rows(decontamination.phrases(keyed, items, ["doc_id"], width=width, slop=slop))
+    assert rows(decontamination.search(index, items, ["doc_id"]))
+
+
 # --- 8: shards ---------------------------------------------------------------------------------
 
 
 def test_compaction(spark, tmp_path):
     t = compaction.Table(spark, f"file://{tmp_path}/t")
-    rows = spark.range(4000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("text")).repartition(4)
+    rows = spark.range(4000).select("id", F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(i)), 256) for i in range(8)]).alias("text")).repartition(4)
     assert t.versions() == [] and t.compact() is None
     assert t.append(rows.where("id % 2 = 0"), 100) == 1 and t.append(rows.where("id % 2 = 1"), 100) == 2
     assert t.append(rows.limit(0)) == 2
@@ -589,6 +608,16 @@ def test_rules_keep_good_documents(spark, docs, sf_dir):
     assert kept[1] > 0.95 and kept[0] < 0.1
 
 
+def test_scratch_is_cleared(spark):
+    from quillon.llm.common import Scratch, clear_scratch
+
+    t = Scratch(spark, "x").put(spark.range(3), "t")
+    assert t.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        t.count()
+
+
 def test_native_plans_have_no_python(spark, sf_dir):
     for name in ("op3_tool_calls", "op7_decontamination", "op8_compaction", "op9_quality_rules"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
