@@ -195,6 +195,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
         out["many"] = key[1] > 1
         return out
 
+    # As many tasks as the session has for a shuffle: Spark would join small partitions by size, but verifying is work.
+    held = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "k", "p", "q")
     checked = scratch.put(held.groupBy("root", "k", "p", "q").applyInPandas(run, "node long, links long, root long, many boolean"), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("many").alias("many"))
     single = links.where(~F.col("many")).select("node", "root")
