@@ -146,5 +146,16 @@ SELECT conv_id, concat('call_', conv_id, '_', turn) AS call_id, turn, 'reply' AS
 FROM calls LEFT JOIN results USING (conv_id, turn)"""
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node AND r.root < l.y)
+SELECT doc_id, min(root) AS class_id, CAST(coalesce(any_value(k), 0) AS BIGINT) AS n_links
+FROM documents JOIN r ON node = doc_id LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY 1) ON x = doc_id GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_calls": _TOOL_CALLS_SQL, "op7_decontamination": _DECONTAMINATION_SQL, "op9_quality_rules": _quality_sql()}
+    return {"op3_tool_calls": _TOOL_CALLS_SQL, "op4_jaccard_join": _JACCARD_SQL, "op7_decontamination": _DECONTAMINATION_SQL, "op9_quality_rules": _quality_sql()}
