@@ -799,7 +799,11 @@ def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tumbling(table(spark, sf_dir, "events"), "6 hours", "event_type").select("start", "event_type", "n")
 
 
-@query()
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k"""
+)
 def ext_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"), "30 minutes", "user_id")
 
