@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Distinct parts that a worker remembers; when full it starts anew.
-REMEMBER = 800_000
+REMEMBER = 400_000
 
 
 def cuts(n: int, length: int) -> list[int]:
