@@ -5,12 +5,17 @@ product of class transitions and of word emissions within the class, both
 smoothed. Counts come from all training texts:
 
 1. Word counts, hashed to 64 bits, over all training tokens (one shuffle).
-2. Clustering units. Each of the ``HEAD`` most frequent words is a unit of its own; the
+2. A start for the clustering. Each of the ``HEAD`` most frequent words is a unit of its own; the
    others share one with the words of like spelling (their last letters). Bigrams of units over all training tokens: at most units squared.
-3. Exchange clustering moves units between classes while the likelihood of the
+   Exchange clustering moves units between classes while the likelihood of the
    bigrams rises. That is a bounded problem, whatever the size of the corpus.
-4. Scoring. Words with the highest counts, at most ``LEXICON``, are sent to the
-   executors; the counts of the rarer ones are joined by hash. So no table
+3. One distributed round of exchange for all other words, from that start: each word's bigrams with the
+   classes before and after it, in all training text, meet in one place (one shuffle), and
+   the word by itself goes to the class where the likelihood is highest. All words of
+   the round move at once, so each sees the others where they started.
+4. Bigrams of the classes so found, over all training tokens.
+5. Scoring. Words with the highest counts, at most ``LEXICON``, are sent to the
+   executors; the counts and classes of the rarer ones are joined by hash, in 4 too. So no table
    that grows with the corpus is ever collected or broadcast.
 
 Tokens are the words and one end per text. An unknown word has the emission of
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix, remainder, text_chunks, words
 
-#: Words with a unit of their own, at most.
+#: Words with a unit of their own in the start, at most; the distributed round gives every other word a class of its own.
 HEAD = 800
 SPELLINGS = 1024
 CLASSES = 64
@@ -44,8 +49,10 @@ CLASSES = 64
 LEXICON = 1 << 20
 ALPHA = 0.1
 PRIOR = 5.0
-#: Distinct words that a counting task holds before it passes them on.
+#: Distinct words, or words with a context, that a counting task holds before it passes them on.
 FLUSH = 2_000_000
+#: Rows of words with a context that are assigned at once.
+BLOCK_ROWS = 32_000
 END = np.uint64(0x5EED0FE2D0FE2D01)
 
 
@@ -138,6 +145,10 @@ def count_bigrams(docs: DataFrame, units: Units) -> DataFrame:
     return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def exchange(pairs: np.ndarray, end: int, classes: int = CLASSES, passes: int = 12) -> np.ndarray:
     """Class of each unit. pairs: units x units bigram counts. The end has class 0 for itself.
 
@@ -160,9 +171,6 @@ def exchange(pairs: np.ndarray, end: int, classes: int = CLASSES, passes: int =
     for c in range(classes):
         grid[c] = out[cls == c].sum(0)
 
-    def xlogx(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(passes):
         moved = 0
         for i in order:
@@ -201,9 +209,161 @@ def exchange(pairs: np.ndarray, end: int, classes: int = CLASSES, passes: int =
     return cls
 
 
+def count_contexts(docs: DataFrame, units: Units, cls: np.ndarray) -> DataFrame:
+    """(word, code, n) of the words that are not heads, in parts: how often a class stands beside a word.
+
+    code is 256 times the word's spelling unit, plus the class that follows, or CLASSES and the
+    class before, or twice CLASSES where the word follows itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(h: np.ndarray, code: np.ndarray, n: np.ndarray):
+            _, n, at = merged(mix(h) + code.astype(np.uint64) * END, n)
+            return h[at], code[at], n
+
+        def out(h, code, n):
+            for lo in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + 100_000].view(np.int64)), pa.array(code[lo : lo + 100_000].astype(np.int32)), pa.array(n[lo : lo + 100_000])], ["word", "code", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for _, h, unit, first in token_chunks(batch.column("text")):
+                u = units.of(h, unit)
+                c = cls[u]
+                i = np.flatnonzero(u < SPELLINGS)  # no head, no end: so a next token there is
+                starts = np.zeros(len(h), bool)
+                starts[first[:-1]] = True
+                before = np.where(starts[i], 0, c[i - 1])
+                again = h[i + 1] == h[i]
+                same = ~starts[i] & (h[i - 1] == h[i])
+                code = np.r_[np.where(again, 2 * CLASSES, c[i + 1]), (CLASSES + before)[~same]] + 256 * np.r_[u[i], u[i[~same]]]
+                part = sums(np.r_[h[i], h[i[~same]]], code, np.ones(len(code)))
+                held.append(part)
+                size += len(part[0])
+                if size > FLUSH:
+                    held = [sums(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield from out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(*sums(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return docs.select("text").mapInArrow(run, "word long, code int, n long")
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, itself: np.ndarray, cur: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Class of each word: where the likelihood is highest when that word alone moves; it stays in a tie.
+
+    after, before: words x classes counts of what follows and precedes, without ``itself``, how often
+    the word follows itself. ``cur`` is its class now and grid the class bigrams, the word's among them.
+    """
+    m, classes = after.shape
+    every = np.arange(m)
+    gain = np.zeros((m, classes))
+    # A side at a time: adding the word to class k changes grid[k, j] by after[j], and grid[i, k] by before[i].
+    for mine, other, g in ((after, before, grid.T), (before, after, grid)):
+        w, j = np.nonzero(mine)
+        if not len(w):
+            continue
+        n, c = mine[w, j], cur[w]
+        was = g[j]  # then without the word: it leaves row and column of its class
+        corner = j == c
+        was[corner] -= other[w[corner]]
+        was[np.arange(len(w)), c] -= n + np.where(corner, itself[w], 0)
+        rise = xlogx(was + n[:, None]) - xlogx(was)
+        begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        gain[w[begin]] += np.add.reduceat(rise, begin)
+    diag = np.tile(np.diag(grid), (m, 1))
+    diag[every, cur] -= after[every, cur] + before[every, cur] + itself
+    gain += xlogx(diag + after + before + itself[:, None]) - xlogx(diag + after) - xlogx(diag + before) + xlogx(diag)
+    for mine, sums in ((after, grid.sum(1)), (before, grid.sum(0))):
+        total = mine.sum(1) + itself
+        rest = np.tile(sums, (m, 1))
+        rest[every, cur] -= total
+        gain -= xlogx(rest + total[:, None]) - xlogx(rest)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > gain[every, cur] + 1e-9, best, cur)
+
+
+def assign(contexts: DataFrame, cls: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """(word, unit, n, cls) of each word of contexts (word, code, n)."""
+
+    def block(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        owner = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(word)]))
+        width = 2 * CLASSES + 1
+        counts = np.bincount(owner * width + code % 256, n, len(begin) * width).reshape(-1, width)
+        after, before, itself = counts[:, :CLASSES], counts[:, CLASSES : 2 * CLASSES], counts[:, 2 * CLASSES]
+        unit = code[begin] // 256
+        own = best_classes(after, before, itself, cls[unit], grid)
+        total = (after.sum(1) + itself).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(word[begin]), pa.array(unit.astype(np.int32)), pa.array(total), pa.array(own.astype(np.int32))], ["word", "unit", "n", "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= BLOCK_ROWS:
+                word, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
+                if cut:
+                    yield block(word[:cut], code[:cut], n[:cut])
+                held, size = [[word[cut:], code[cut:], n[cut:]]], size - cut
+        if size:
+            yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, unit int, n long, cls int")
+
+
+def count_classes(docs: DataFrame, classed: DataFrame, lexicon: np.ndarray, cls: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Class x class bigrams over all tokens; the classes of words outside the lexicon (sorted) are joined."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, cls))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, cls = shared.value
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for _, h, _, first in token_chunks(batch.column("text")):
+                c = look_up(lexicon, cls, h, -1)
+                c[h == END] = 0
+                a, x = np.r_[0, c[:-1]], np.r_[END, h[:-1]]
+                a[first[:-1]] = 0
+                known = (a >= 0) & (c >= 0)
+                total += np.bincount(a[known] * CLASSES + c[known], minlength=len(total))
+                i = np.flatnonzero(~known)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[i].astype(np.int32), c[i].astype(np.int32), x[i].view(np.int64), h[i].view(np.int64), np.ones(len(i), np.int64))], ["a", "b", "x", "y", "n"])
+        at = np.flatnonzero(total)
+        none = np.zeros(len(at), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(none), pa.array(none), pa.array(total[at])], ["a", "b", "x", "y", "n"])
+
+    pairs = scratch.put(docs.select("text").mapInArrow(run, "a int, b int, x long, y long, n long"), "pairs")
+    whole = pairs.where((F.col("a") >= 0) & (F.col("b") >= 0)).select("a", "b", "n")
+    rest = pairs.where((F.col("a") < 0) | (F.col("b") < 0))
+    # Each join is keyed by rare words alone: an end that is known has no part in it.
+    first = rest.where(F.col("a") < 0).join(classed.select(F.col("word").alias("x"), "cls"), "x").select(F.col("cls").alias("a"), "b", "y", "n")
+    rest = first.unionByName(rest.where(F.col("a") >= 0).select("a", "b", "y", "n"))
+    second = rest.where(F.col("b") < 0).join(classed.select(F.col("word").alias("y"), "cls"), "y").select("a", F.col("cls").alias("b"), "n")
+    found = whole.unionByName(rest.where(F.col("b") >= 0).select("a", "b", "n")).unionByName(second).groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    grid = np.zeros((CLASSES, CLASSES))
+    grid[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    return grid
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, default: int) -> np.ndarray:
+    """Value of each h by sorted keys, default where there is none."""
+    if not len(keys):
+        return np.full(len(h), default, np.int64)
+    u, inverse = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+    return np.where(keys[at] == u, values[at], default)[inverse]
+
+
 @dataclass
 class Model:
-    units: Units
+    units: Units  # of all words of the lexicon, each its own
     cls: np.ndarray
     lexicon: np.ndarray
     counts: np.ndarray
@@ -214,48 +374,49 @@ class Model:
 
 
 def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, int]:
-    """(model, word counts, the least count that the model's lexicon has) of docs (text)."""
+    """(model, (word, unit, n, cls) of all words, the least count that the model's lexicon has) of docs (text)."""
     counted = scratch.put(count_words(docs), "words")
     # How many words have each count: few rows, as large counts are rare. Beyond the head's need they are summed.
     tiers = counted.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("n")).collect()
     distinct, total = sum(t["words"] for t in tiers), sum(t["tokens"] for t in tiers)
+    top = counted.where(F.col("unit") != SPELLINGS).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    head = np.array([r["word"] for r in top], np.int64)
+    units = Units(head.view(np.uint64))
+    bigrams = count_bigrams(docs, units).toArrow()
+    pairs = np.zeros((units.n, units.n))
+    pairs[bigrams["a"].to_numpy(), bigrams["b"].to_numpy()] = bigrams["n"].to_numpy()
+    start = exchange(pairs, units.end)
+    grid = np.zeros((CLASSES, CLASSES))
+    np.add.at(grid, (np.repeat(start, units.n), np.tile(start, units.n)), pairs.ravel())
+    own = start[units.of(head.view(np.uint64), np.zeros(len(head), np.int64))]
+    fixed = [(r["word"], r["unit"], r["n"], int(c)) for r, c in zip(top, own, strict=True)]
+    ends = counted.where(F.col("unit") == SPELLINGS).select("word", "unit", "n", F.lit(0).alias("cls"))
+    heads = docs.sparkSession.createDataFrame(fixed, "word long, unit int, n long, cls int")
+    classed = scratch.put(assign(count_contexts(docs, units, start), start, grid).unionByName(heads).unionByName(ends), "classes")
     least, have = 4097, 0
     for t in tiers:
         if have + t["words"] > LEXICON:
             break
         least, have = t["n"], have + t["words"]
     if least <= 4096:
-        lex = counted.where(F.col("n") >= least)
+        lex = classed.where(F.col("n") >= least)
     else:  # more than LEXICON words beyond 4096: the most frequent of them
-        lex = counted.orderBy(F.desc("n"), "word").limit(LEXICON)
-    lex = lex.toArrow()
-    h, unit, n = lex["word"].to_numpy().view(np.uint64), lex["unit"].to_numpy().astype(np.int64), lex["n"].to_numpy()
+        lex = classed.orderBy(F.desc("n"), "word").limit(LEXICON)
+    lex = lex.select("word", "n", "cls").toArrow()
+    h, n, c = lex["word"].to_numpy().view(np.uint64), lex["n"].to_numpy(), lex["cls"].to_numpy().astype(np.int64)
     if least > 4096 and len(n):
         least = int(n.min()) + 1
-        h, unit, n = h[n >= least], unit[n >= least], n[n >= least]
-    real = h != END
-    top = np.lexsort((h[real], -n[real]))[:HEAD]
-    units = Units(h[real][top])
-    bigrams = count_bigrams(docs, units).toArrow()
-    pairs = np.zeros((units.n, units.n))
-    pairs[bigrams["a"].to_numpy(), bigrams["b"].to_numpy()] = bigrams["n"].to_numpy()
-    cls = exchange(pairs, units.end)
-    grid = np.zeros((CLASSES, CLASSES))
-    np.add.at(grid, (np.repeat(cls, units.n), np.tile(cls, units.n)), pairs.ravel())
-    # Tokens and distinct words of each class, over all words: spelling units as a whole, head words moved to their own.
-    by_unit = counted.groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+        h, n, c = h[n >= least], n[n >= least], c[n >= least]
+    order = np.argsort(h)
+    h, n, c = h[order], n[order].astype(np.int64), c[order]
+    grid = count_classes(docs, classed.where(F.col("n") < least), h, c, scratch)
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_unit:
-        n_class[cls[r["unit"]]] += r["n"]
-        v_class[cls[r["unit"]]] += r["v"]
-    own, was = units.of(h, unit), unit
-    for x, w in ((was, -1), (own, 1)):
-        np.add.at(n_class, cls[x], w * n)
-        np.add.at(v_class, cls[x], w)
+    for r in classed.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n_class[r["cls"]], v_class[r["cls"]] = r["n"], r["v"]
     prior = (n_class + 1) / (n_class + 1).sum()
     transition = np.log10((grid + PRIOR * prior) / (grid.sum(1, keepdims=True) + PRIOR))
-    order = np.argsort(h)
-    return Model(units, cls, h[order], n[order].astype(np.int64), transition, np.log10(n_class + ALPHA * (v_class + 1)), int(total), int(distinct)), counted, least
+    real = h != END
+    return Model(Units(h[real]), np.r_[start[: SPELLINGS + 1], c[real]], h, n, transition, np.log10(n_class + ALPHA * (v_class + 1)), int(total), int(distinct)), classed, least
 
 
 def score(docs: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -263,7 +424,7 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", doc_id: str = "
     spark = docs.sparkSession
     scratch = Scratch(spark, "brown")
     docs = docs.select(F.col(doc_id).alias("doc_id"), (~train_on).alias("held_out"), F.col(text).alias("text"))
-    model, counted, least = train(docs.where(~F.col("held_out")).select("text"), scratch)
+    model, classed, least = train(docs.where(~F.col("held_out")).select("text"), scratch)
     shared = spark.sparkContext.broadcast(model)  # LEXICON words and CLASSES squared at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,23 +440,49 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", doc_id: str = "
                 before = np.r_[0, cls[:-1]]
                 before[first[:-1]] = 0
                 known = found[inverse]
+                # A word outside the lexicon has its class by the join, but the end always has its own.
+                sure = known | (h == END)
+                after_sure = np.r_[True, sure[:-1]]
+                after_sure[first[:-1]] = True
                 size = np.diff(first)
-                classes = np.add.reduceat(m.transition[before, cls] - m.emission[cls], first[:-1])
+                classes = np.add.reduceat(np.where(sure & after_sure, m.transition[before, cls], 0.0) - np.where(sure, m.emission[cls], 0.0), first[:-1])
                 heads = np.add.reduceat(word, first[:-1])
                 seen = np.add.reduceat(known.astype(np.int64), first[:-1])
                 rare = (~known).nonzero()[0]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(h[rare].view(np.int64)))
+                # The classes beside it, -1 where they come by the join too; -2 for an end, which is done.
+                prev = np.where(sure[rare], -2, np.where(after_sure[rare], before[rare], -1))
+                after = np.minimum(rare + 1, len(h) - 1)
+                then = np.where(sure[after], cls[after], -1)
+                kind = pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(prev.astype(np.int32)), pa.array(cls[rare].astype(np.int32)), pa.array(then.astype(np.int32))], ["word", "prev", "own", "then"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), kind)
                 rows = batch.slice(lo, len(size))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(size.astype(np.int64)), pa.array(seen), pa.array(heads), pa.array(classes), lists], ["doc_id", "held_out", "n_tokens", "seen", "heads", "classes", "rare"])
 
-    parts = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, seen long, heads double, classes double, rare array<long>")
+    parts = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, seen long, heads double, classes double, rare array<struct<word:long,prev:int,own:int,then:int>>")
     parts = scratch.put(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
-    tail = parts.select("row", F.explode("rare").alias("word"))
-    rest = counted.where(F.col("n") < least).select("word", "n")
-    found = tail.join(rest, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("rare_sum"), F.count("n").alias("rare_known"))
+    tail = parts.select("row", F.posexplode("rare").alias("i", "r")).select("row", "i", "r.*")
+    rest = classed.where(F.col("n") < least).select("word", "n", "cls")
+    met = tail.join(rest, "word", "left").select("row", F.struct("i", "prev", F.coalesce("cls", "own").alias("cls"), "then", F.coalesce("n", F.lit(0)).alias("n")).alias("r"))
+    found = met.groupBy("row").agg(F.sort_array(F.collect_list("r")).alias("r"))
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            lists = batch.column("r")
+            first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            prev, cls, then, n = (lists.flatten().field(k).to_numpy() for k in ("prev", "cls", "then", "n"))
+            # A rare word whose neighbour before is rare too follows the one before in the list.
+            end = prev == -2
+            prev = np.where(prev == -1, np.r_[0, cls[:-1]], prev)
+            sums = m.transition[prev, cls] - m.emission[cls] + np.where(then >= 0, m.transition[cls, np.maximum(then, 0)], 0.0)
+            sums[end] = 0.0
+            add = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), add(np.log10(n + ALPHA)), add((n > 0).astype(np.int64)), add(sums)], ["row", "rare_sum", "rare_known", "rare_classes"])
+
+    found = found.mapInArrow(tails, "row long, rare_sum double, rare_known long, rare_classes double")
     words = F.col("heads") + F.coalesce("rare_sum", F.lit(0.0))
     base = math.log10(model.tokens + ALPHA * (model.distinct + 1))
-    total = words + F.col("classes")
+    total = words + F.col("classes") + F.coalesce("rare_classes", F.lit(0.0))
     return parts.drop("rare").join(found, "row", "left").select(
         "doc_id",
         "held_out",

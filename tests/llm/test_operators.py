@@ -350,6 +350,57 @@ def test_exchange_raises_the_likelihood():
     assert cls[60] == 0 and (cls[:60] > 0).all() and fit(cls) >= fit(np.r_[true, 0]) - 1
 
 
+def test_each_word_moves_to_the_best_class():
+    """The classes by which one word raises the likelihood most, against the likelihood itself."""
+    rng = np.random.default_rng(6)
+    pairs = rng.poisson(0.4, (40, 40)).astype(float)
+    cls = rng.integers(1, 5, 40)
+    cls[0] = 0
+
+    def grid(cls):
+        out = np.zeros((5, 5))
+        np.add.at(out, (np.repeat(cls, 40), np.tile(cls, 40)), pairs.ravel())
+        return out
+
+    def fit(cls):
+        f = lambda x: brown_lm.xlogx(x).sum()
+        return f(grid(cls)) - f(grid(cls).sum(1)) - f(grid(cls).sum(0))
+
+    alone = pairs - np.diag(np.diag(pairs))
+    side = lambda x: np.array([[row[cls == c].sum() for c in range(5)] for row in x])[1:]
+    got = brown_lm.best_classes(side(alone), side(alone.T), np.diag(pairs)[1:], cls[1:], grid(cls))
+    for i, k in enumerate(got, 1):
+        fits = [fit(np.r_[cls[:i], c, cls[i + 1 :]]) for c in range(1, 5)]
+        assert np.isclose(max(fits), fits[k - 1])
+    assert (got != cls[1:]).any()
+
+
+@pytest.mark.parametrize("lexicon", [1 << 20, 20])
+def test_rare_words_have_classes_of_their_own(spark, monkeypatch, lexicon):
+    """Words of one spelling that stand in different places part, though no head; the class bigrams count each."""
+    from quillon.llm.common import Scratch
+
+    monkeypatch.setattr(brown_lm, "HEAD", 4)
+    monkeypatch.setattr(brown_lm, "LEXICON", lexicon)
+    rows = [(f"red n{k}ing blue v{k}ing red n{k + 1}ing",) for k in range(0, 30, 2)] * 3 + [("red blue red blue",)] * 20
+    model, classed, _ = brown_lm.train(spark.createDataFrame(rows, "text string"), Scratch(spark, "t"))
+    own = {r["word"]: r["cls"] for r in classed.collect()}
+    pairs, seen = np.zeros((brown_lm.CLASSES,) * 2), collections.defaultdict(set)
+    import pyarrow as pa
+
+    for text, times in collections.Counter(t for (t,) in rows).items():
+        h = next(brown_lm.token_chunks(pa.array([text])))[1]
+        c = [own[x] for x in h.view(np.int64).tolist()]
+        for a, b in zip([0, *c[:-1]], c, strict=True):
+            pairs[a, b] += times
+        for w, k in zip([*text.split(), "end"], c, strict=True):
+            seen[w[0] if w.endswith("ing") else w].add(k)
+    assert seen["n"].isdisjoint(seen["v"]) and seen["end"] == {0}
+    n = pairs.sum(0)
+    prior = (n + 1) / (n + 1).sum()
+    assert np.allclose(10.0**model.transition, (pairs + brown_lm.PRIOR * prior) / (pairs.sum(1, keepdims=True) + brown_lm.PRIOR))
+
+
 def test_the_model_sums_to_one(spark, docs):
     from quillon.llm.common import Scratch
 
