@@ -4,7 +4,7 @@ A page becomes blocks of text. The words of a host's pages are concatenated and
 their suffixes sorted to a depth of ``RUN`` words by prefix doubling; a run of so
 many words that stands on two distinct pages, and on ``SHARE`` of the pages, is a
 repeat, and all words that repeats cover are boilerplate candidates. Where mark-up says
-nothing, a block that repeats cover by more than half goes and unique runs stay.
+nothing, the words that repeats cover go and the unique runs of a block stay.
 Pages of one content count as one page, so a copied page is not its own boilerplate.
 
 Repeats alone can't give right results here: articles that are copied between
@@ -14,8 +14,9 @@ sidebars, notices, adverts, forms or comments go even when unique, and the array
 decides on all the others: every block of a page without an article.
 
 A host's pages are dealt by a hash of page_id into groups of about ``GROUP``,
-so that a host with a third of all pages is many tasks; boilerplate, which is on
-many pages of its host, repeats in each group. Hosts of fewer pages are one group.
+so that a host with a third of all pages is many tasks. What repeats there is
+counted before, over the whole host: the runs of words of its pages, by 64-bit hashes, meet in one
+shuffle, and each group gets its host's repeats. Hosts of fewer pages are one group with an array of its own.
 
 Defined results: a null or empty html gives an empty text; a page with no
 readable host is grouped under the empty host; repeated rows are extracted
@@ -25,6 +26,7 @@ cut; extra columns do not matter.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import math
 import re
@@ -35,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks, words
+from .common import Scratch, mix, text_chunks, words
 
 RUN = 8
 GROUP = 64
-#: Least share of a group's pages that boilerplate is on.
+#: Least share of a host's pages that boilerplate is on.
 SHARE = 0.05
 #: Rows of hosts with more pages than a group up to which they are broadcast.
 BROADCAST_HOSTS = 100_000
@@ -164,11 +166,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeats(texts: list[str], page: np.ndarray, run: int = RUN, least: int = 2) -> np.ndarray:
-    """Of each text, the share of its words that runs found on ``least`` pages or more cover.
-
-    ``page`` numbers the page of each text; texts of a page are in its order and follow one another.
-    """
+def stream(texts: list[str], page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, words after it on its page) of each word of texts, of which ``page`` numbers the pages."""
     column = pa.array(texts, pa.large_string())
     hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, _, data, starts in text_chunks(column):
@@ -177,14 +176,42 @@ def repeats(texts: list[str], page: np.ndarray, run: int = RUN, least: int = 2)
         owner.append(lo + np.repeat(np.arange(len(first) - 1), np.diff(first)))
     h, owner = np.concatenate(hashes), np.concatenate(owner)
     n = len(h)
-    share = np.zeros(len(texts))
     if not n:
-        return share
+        return h, owner, owner
+    of = page[owner]
+    last = np.r_[np.flatnonzero(of[1:] != of[:-1]), n - 1]
+    return h, owner, last[np.searchsorted(last, np.arange(n))] - np.arange(n)
+
+
+def run_keys(h: np.ndarray, run: int = RUN) -> np.ndarray:
+    """64-bit hash of the run of words that starts at each word; past the end words count as none."""
+    out = np.zeros(len(h), np.uint64)
+    for k in range(run):
+        out = mix(out + np.r_[h[k:], np.zeros(min(k, len(h)), np.uint64)])
+    return out
+
+
+def cover(again: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which words lie in a run that starts where ``again`` says."""
+    edge = np.zeros(len(again) + 1, np.int64)
+    at = np.flatnonzero(again)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + run, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def repeated_words(texts: list[str], page: np.ndarray, run: int = RUN, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(covered, text) of each word: whether runs found on ``least`` pages or more cover it.
+
+    ``page`` numbers the page of each text; texts of a page are in its order and follow one another.
+    """
+    h, owner, left = stream(texts, page)
+    n = len(h)
+    if not n:
+        return np.zeros(0, bool), owner
     of = page[owner]
     # Sort suffixes by their first 1, 2, 4, ... words; past a page's end stands a rank of its own.
     rank = np.unique(h, return_inverse=True)[1].astype(np.int64) + 1
-    last = np.r_[np.flatnonzero(of[1:] != of[:-1]), n - 1]
-    left = last[np.searchsorted(last, np.arange(n))] - np.arange(n)  # words after this one on its page
     depth = 1
     while depth < run:
         step = min(depth, run - depth)
@@ -198,42 +225,102 @@ def repeats(texts: list[str], page: np.ndarray, run: int = RUN, least: int = 2)
     spans = np.add.reduceat(starts | np.r_[True, pages[1:] != pages[:-1]], first, dtype=np.int64) >= least
     again = np.zeros(n, bool)
     again[array] = np.repeat(spans, np.diff(np.r_[first, n]))
-    again &= left >= run - 1
-    edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(again)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + run, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    total = np.bincount(owner, minlength=len(texts))
-    return np.bincount(owner, covered, len(texts)) / np.maximum(total, 1)
+    return cover(again & (left >= run - 1), run), owner
+
+
+def known_words(texts: list[str], page: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(covered, text) of each word: whether runs of which the hash is in ``known`` (sorted) cover it."""
+    h, owner, left = stream(texts, page)
+    if not len(h) or not len(known):
+        return np.zeros(len(h), bool), owner
+    keys = run_keys(h)
+    found = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+    return cover(found & (left >= RUN - 1)), owner
+
+
+def repeats(texts: list[str], page: np.ndarray, run: int = RUN, least: int = 2) -> np.ndarray:
+    """Of each text, the share of its words that runs found on ``least`` pages or more cover."""
+    covered, owner = repeated_words(texts, page, run, least)
+    return np.bincount(owner, covered, len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+
 
+def content(parts: list[tuple[int, str]]) -> str:
+    """What makes pages one: the text that mark-up does not put away."""
+    return "\n".join(t for s, t in parts if s != AWAY)
 
-def extract_group(pages: pd.DataFrame) -> pd.DataFrame:
-    """Main texts of a group of pages (page_id, url, html) of one host."""
+
+def extract_group(pages: pd.DataFrame, known: np.ndarray | None = None) -> pd.DataFrame:
+    """Main texts of pages (page_id, url, html) of one host: of all its pages, or of some with the hashes of its repeats."""
     parts = [blocks(h) for h in pages["html"]]
     # Rows of one page, and pages of one content, count as one page: one of them stands for all.
     ids = pd.factorize(pages["page_id"], use_na_sentinel=False)[0]
     first: dict[object, int] = {}
     alike = [first.setdefault(i, k) for k, i in enumerate(ids)]
-    content = ["\n".join(t for s, t in p if s != AWAY) for p in parts]
-    for i, c in enumerate(content):
+    for i, c in enumerate(map(content, parts)):
         if c:
             alike[i] = min(alike[i], first.setdefault(c, alike[i]))
     order = np.argsort(np.array(alike), kind="stable")
     starts = np.cumsum([0, *map(len, parts)])
-    at = [k for i in order for k in range(starts[i], starts[i + 1])]
     flat = [t for p in parts for _, t in p]
-    numbers = np.array([alike[i] for i in order for _ in parts[i]], np.int64)
-    share = np.zeros(len(flat))
-    share[at] = repeats([flat[k] for k in at], numbers, least=max(2, math.ceil(SHARE * len(set(alike)))))
+    if known is None:
+        at = np.array([k for i in order for k in range(starts[i], starts[i + 1])], np.int64)
+        numbers = np.array([alike[i] for i in order for _ in parts[i]], np.int64)
+        covered, owner = repeated_words([flat[k] for k in at], numbers, least=max(2, math.ceil(SHARE * len(set(alike)))))
+        owner = at[owner] if len(at) else owner
+    else:
+        covered, owner = known_words(flat, np.repeat(np.arange(len(parts)), np.diff(starts)), known)
+    by = np.argsort(owner, kind="stable")
+    covered, cut = covered[by], np.searchsorted(owner[by], np.arange(len(flat) + 1))
     texts, repeated, unique = [], [], []
     for i, p in enumerate(parts):
         has = any(s == IN for s, _ in p)
-        keep = [t for (s, t), r in zip(p, share[starts[i] : starts[i + 1]], strict=True) if s == IN or not has and s == OPEN and r <= 0.5]
+        keep, many = [], 0
+        for k, (s, t) in enumerate(p, starts[i]):
+            hit = covered[cut[k] : cut[k + 1]]
+            many += bool(len(hit) and 2 * hit.sum() > len(hit))
+            if s == OPEN and not has and hit.any():  # the runs that are the page's own stay
+                t = " ".join(w for w, x in zip(t.split(" "), hit, strict=True) if not x)
+            if t and (s == IN or not has and s == OPEN):
+                keep.append(t)
         texts.append("\n\n".join(keep))
-        repeated.append(int((share[starts[i] : starts[i + 1]] > 0.5).sum()))
+        repeated.append(many)
         unique.append(len(keep))
-    return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": unique, "n_repeated": repeated})
+    return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"].astype(object), "text": pd.Series(texts, dtype=object), "n_chars": [len(t) for t in texts], "n_blocks": unique, "n_repeated": repeated})
+
+
+def host_repeats(rows: DataFrame) -> DataFrame:
+    """(host, key): hashes of the runs on enough pages of a host, over all of rows (host, page_id, html)."""
+
+    def contents(batches):
+        for batch in batches:
+            # A page's own name where it has no content, so that it is like no other.
+            marks = [hashlib.md5(content(blocks(h)).encode("utf-8", "surrogatepass")).hexdigest() for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(marks)], ["host", "page", "content"])
+
+    none = hashlib.md5(b"").hexdigest()
+    # Rows without an id are one page; -2^63 stands for it.
+    rows = rows.select("host", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), "html")
+    marks = Scratch(rows.sparkSession, "contents").put(rows.mapInArrow(contents, "host string, page long, content string").distinct(), "contents")
+    least = marks.where(F.col("content") != none).groupBy("host", "content").agg(F.min("page").alias("one"))
+    ones = marks.join(least, ["host", "content"], "left").groupBy("host", "page").agg(F.min(F.coalesce("one", "page")).alias("one"))
+    ones = Scratch(rows.sparkSession, "ones").put(ones, "ones")
+    limits = ones.groupBy("host").agg(F.greatest(F.lit(2), F.ceil(F.lit(SHARE) * F.count_distinct("one"))).alias("least"))
+
+    def runs(batches):
+        for batch in batches:
+            for host, page, html in zip(*(batch.column(k).to_pylist() for k in ("host", "page", "html")), strict=True):
+                texts = [t for _, t in blocks(html)]
+                h, _, left = stream(texts, np.zeros(len(texts), np.int64))
+                keys = np.unique(run_keys(h)[left >= RUN - 1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(np.full(len(keys), page, np.int64)), pa.array(keys)], ["host", "page", "key"])
+
+    found = rows.mapInArrow(runs, "host string, page long, key long")
+    other = ones.where(F.col("one") != F.col("page"))
+    n = other.count()
+    # A run counts once for pages that are one; a run that all pages have is counted in parts before they meet.
+    met = found.join(F.broadcast(other) if n <= BROADCAST_HOSTS else other, ["host", "page"], "left").select("host", "key", F.coalesce("one", "page").alias("page")).distinct()
+    counts = met.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(limits, "host").where(F.col("n") >= F.col("least")).select("host", "key")
 
 
 def host(url: str = "url"):
@@ -247,5 +334,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     n = large.count()
     large = F.broadcast(large) if n <= BROADCAST_HOSTS else large
     shard = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))), F.coalesce("groups", F.lit(1)).cast("long")).cast("int")
-    dealt = rows.join(large, "host", "left").select("host", shard.alias("shard"), "page_id", "url", "html")
-    return dealt.groupBy("host", "shard").applyInPandas(lambda pdf: extract_group(pdf), "page_id long, url string, text string, n_chars long, n_blocks int, n_repeated int")
+    dealt = rows.join(large, "host", "left").select("host", shard.alias("shard"), "page_id", "url", "html", F.col("groups").isNotNull().alias("many"))
+    schema = "page_id long, url string, text string, n_chars long, n_blocks int, n_repeated int"
+    whole = dealt.where(~F.col("many")).groupBy("host").applyInPandas(lambda pdf: extract_group(pdf), schema)
+    if not n:
+        return whole
+    common = host_repeats(rows.join(large, "host", "left_semi"))
+    common = common.join(large, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("shard"), "key")
+
+    def grouped(pages: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        return extract_group(pages, np.sort(keys["key"].to_numpy(np.int64).view(np.uint64)))
+
+    parts = dealt.where("many").groupBy("host", "shard").cogroup(common.groupBy("host", "shard")).applyInPandas(grouped, schema)
+    return whole.unionByName(parts)

@@ -137,6 +137,30 @@ def test_unique_runs_stay(spark):
     assert html_extraction.extract(pages(spark, (1, "u", "x")).limit(0)).count() == 0
 
 
+def test_groups_of_a_host_have_one_threshold(spark):
+    """A footer on a few pages of a host goes from all of them, however the host is dealt; copies count once."""
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(20))
+    foot = "This footer of nine words stands on few pages"
+    rows = [(i, "https://h.example/a", f"<body><div>{body(i)}</div>" + (f"<div>{foot}</div>" if i % 10 == 0 else "") + "</body>") for i in range(1, 61)]
+    rows += [(100 + i, "https://h.example/a", f"<body><div>{body(7)}</div></body>") for i in range(4)] + [(None, "https://h.example/a", f"<p>{body(8)}")]
+
+    def got(n):
+        return sorted((r["page_id"] or -1, r["text"], r["n_repeated"]) for r in html_extraction.extract(pages(spark, *rows), group=n).collect())
+
+    assert got(4) == got(1000)
+    assert all(t == body({-1: 8}.get(i, 7 if i >= 100 else i)) for i, t, _ in got(4))
+
+
+def test_unique_words_of_a_block_stay(spark):
+    """In a block of shared and own words just the shared run goes, whichever is longer."""
+    shared = " ".join(f"shared{j}" for j in range(12))
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    rows = [(i, "https://h.example/a", f"<body><div>{own(i, 5)} {shared} {own(-i, 1 + 9 * (i % 2))}</div></body>") for i in range(1, 7)]
+    for n in (2, 64):
+        got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages(spark, *rows), group=n).collect()}
+        assert got == {i: f"{own(i, 5)} {own(-i, 1 + 9 * (i % 2))}" for i in range(1, 7)}
+
+
 # --- 2: languages -----------------------------------------------------------------
 
 
