@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that hold benchmark passages."""
     found = decontamination.report(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "row_hash").distinct()
     keyed = docs.withColumn("_row_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    bad = (keyed["doc_id"] == found["doc_id"]) & (keyed["_row_hash"] == found["row_hash"])
+    bad = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_row_hash"] == found["row_hash"])
     return keyed.join(found, bad, "left_anti").select(docs.columns)
 
 

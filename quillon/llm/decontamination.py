@@ -19,7 +19,7 @@ terms are never a shuffle key of their own then, as postings are salted.
 Defined results: a null text has no words; an item of no words has no window,
 an item of fewer than ``width`` words is one window; items of equal text or rows
 that repeat an item_id count by id; a null item_id is ignored. Repeated
-documents each get their row. Extra columns do not matter.
+documents each get their row, and so do those of a null id. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -154,12 +154,15 @@ def covered(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 def report(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and row_hash of its text."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_hash"), F.col(text).alias("text"))
-    hits = covered(phrases(keyed.where(F.col("doc_id").isNotNull()), items, ["doc_id", "row_hash"], "text", width), ["doc_id", "row_hash"])
-    sizes = keyed.select("doc_id", "row_hash", F.size(word_list(F.col("text"))).cast("long").alias("n_words"))
+    # A null id is a key of its own: a flag tells it from the value that stands for it.
+    one = F.coalesce(F.col(doc_id), F.lit("0").cast(docs.schema[doc_id].dataType))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), one.alias("id"), F.col(doc_id).isNull().alias("no_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_hash"), F.col(text).alias("text"))
+    keys = ["id", "no_id", "row_hash"]
+    hits = covered(phrases(keyed, items, keys, "text", width), keys)
+    sizes = keyed.select("doc_id", *keys, F.size(word_list(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     found = F.coalesce("items", F.array().cast("array<string>"))
-    return sizes.join(hits, ["doc_id", "row_hash"], "left").select(
+    return sizes.join(hits, keys, "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),

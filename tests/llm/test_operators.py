@@ -580,6 +580,15 @@ def test_passage_edges(spark):
     assert {r["n_hit"] for r in decontamination.report(odd(spark), b.limit(0)).collect()} == {0}
 
 
+def test_passages_without_an_id(spark):
+    item, clean = "one two three four five", "nothing of the kind is here"
+    texts = [(None, f"see {item}"), (None, clean), (0, clean), (0, f"see {item}"), (1, item)]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = [tuple(r)[:6] for r in decontamination.report(d, b).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    assert sorted(got, key=key) == sorted(contamination(texts, [(9, item)]), key=key)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a quick very brown fox"), (2, "quick brown fox"), (3, "fox and then so far brown quick")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
