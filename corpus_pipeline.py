@@ -39,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark passages."""
-    found = decontamination.report(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "row_hash").distinct()
+    """Drops every document that holds a window of a benchmark item, however long the document."""
+    found = decontamination.report(docs, table(spark, sf_dir, "benchmark")).where(F.col("n_hit") > 0).select("doc_id", "row_hash").distinct()
     keyed = docs.withColumn("_row_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     bad = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_row_hash"] == found["row_hash"])
     return keyed.join(found, bad, "left_anti").select(docs.columns)
