@@ -19,9 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows and bytes, so long texts stay within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound an Arrow batch by rows and bytes, so long texts stay within a worker's memory.
+
+    Both settings are of the session and read when a plan runs, which is after the caller has
+    returned; so they stay. They are only ever lowered.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 _local: dict[str, str] = {}
@@ -32,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quillon-"))
     return f"{named}/quillon-{app}"
 
@@ -99,17 +108,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-
-
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        step = np.full(max(n, 64), _BASE, np.uint64)
-        step[0] = 1
-        _powers = np.cumprod(step)
-    return _powers
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -160,9 +159,13 @@ def words(data: np.ndarray, starts: np.ndarray):
     first = np.searchsorted(begin, starts)
     if not len(begin):
         return begin, end, np.zeros(0, np.uint64), first
+    # A word's bytes lie in blocks of eight, the last filled up with zeros; each block is mixed with its place.
     size = end - begin
+    many = (size + 7) >> 3
+    block = np.cumsum(many) - many
     at = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(at, size)
-    power = _power_table(int(size.max()))
-    part = (_LOWER[data[inside]].astype(np.uint64) + np.uint64(1)) * power[place]
-    return begin, end, mix(np.add.reduceat(part, at) + size.astype(np.uint64)), first
+    text = np.zeros(8 * int(many.sum()), np.uint8)
+    text[np.arange(int(size.sum())) + np.repeat(8 * block - at, size)] = _LOWER[data[inside]]
+    place = np.arange(len(text) >> 3) - np.repeat(block, many)
+    part = mix(text.view("<u8") ^ mix(place.astype(np.uint64) + _SEED))
+    return begin, end, mix(np.add.reduceat(part, block) + size.astype(np.uint64)), first

@@ -9,15 +9,18 @@ old one and commits it with one rename that fails if that version exists, so
 readers see either version whole, and of two writers one must retry. Replaced
 shards stay until ``vacuum``.
 
-All of it is DataFrame functions on rows and on manifests; the driver holds
-tier totals, at most 64 rows, and the paths of one compaction, at most ``MOST_FILES`` in
-``MOST_RUNS`` runs, or of one read, one for each file of some 128 MB; what is above
-that waits for the next round, which callers repeat until nothing is ripe. On an object store without an atomic
+All of it is DataFrame functions on rows and on manifests. A tier's ripe shards are read by
+one scan, in which Spark packs whole files into tasks of the target size, and each
+task writes one file: no row is shuffled, and a plan has one scan for each tier, at most 64. The
+driver holds tier totals and the paths of one compaction, at most ``MOST_FILES``, or of
+one read, one for each file of some 128 MB; ripe shards above that wait for the next
+round, which callers repeat until nothing is ripe. On an object store without an atomic
 rename the commit needs a store that has put-if-absent.
 
 Defined results: an empty arrival adds nothing and commits nothing; rows, nulls,
-repeated rows and all columns stay as they are; an arrival whose columns differ
-from the table's is refused.
+very long texts, repeated rows and all columns stay as they are; shards that tie in size
+are one tier and merge in order of their paths; an arrival whose columns differ from
+the table's is refused; a table without rows cannot be read.
 """
 
 from __future__ import annotations
@@ -28,18 +31,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 TARGET = 128 << 20
 FANOUT = 4
 #: Bytes of the lowest tier.
 BASE = 64 << 10
 MOST_FILES = 50_000
-MOST_RUNS = 256
-#: Shards that one run is planned among, at most on average.
-PLANNED = 10_000
+#: Rows of a shard of an arrival, at most.
+SHARD_ROWS = 50_000
 
-_UNION = "spark.sql.unionOutputPartitioning"
+#: How a scan packs whole files into tasks, and a union keeps its parts: by default a
+#: union of parts of one partition each has one partition itself.
+_PACKING = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0", "spark.sql.unionOutputPartitioning": "false"}
 MANIFEST = "path string, rows long, bytes long"
 
 
@@ -105,7 +108,7 @@ class Table:
         counts = data.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
         return files.join(counts, "path").where(F.col("rows") > 0)
 
-    def append(self, rows: DataFrame, shard_rows: int = 2000) -> int:
+    def append(self, rows: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
         """Write an arrival as shards of at most ``shard_rows`` rows; its version, or the current one if it is empty."""
         version = (self.versions() or [0])[-1]
         if version:
@@ -120,46 +123,56 @@ class Table:
         return self.commit(self.manifest(version).unionByName(new), version + 1)
 
     def plan(self, target: int = TARGET, fanout: int = FANOUT, version: int | None = None) -> DataFrame:
-        """(path, rows, bytes, run) of shards to merge: a run is what one file will hold."""
+        """(path, rows, bytes, tier) of shards to merge, of tiers with ``fanout`` shards or more."""
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / F.lit(float(BASE))) / F.log(F.lit(float(fanout))))).cast("int")
         small = self.manifest(version).where(F.col("bytes") < target * 3 // 4).withColumn("tier", tier)
-        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fanout).orderBy("tier").collect()  # a row for each tier
-        # Each tier is dealt into parts of bounded length, and a part's shards are summed up to the target.
-        parts = F.lit(1)
-        for t in tiers:
-            parts = F.when(F.col("tier") == t["tier"], F.lit(t["n"] // PLANNED + 1)).otherwise(parts)
-        part = F.pmod(F.xxhash64("path"), parts.cast("long"))
-        upto = F.sum("bytes").over(Window.partitionBy("tier", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-        ripe = small.where(F.col("tier").isin([t["tier"] for t in tiers])).withColumn("part", part)
-        runs = ripe.withColumn("run", F.struct("tier", "part", F.floor(F.coalesce(upto, F.lit(0)) / F.lit(target)).alias("step")))
-        return runs.select("path", "rows", "bytes", "run")
+        ripe = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fanout).select("tier").collect()  # a row for each tier
+        return small.where(F.col("tier").isin([t["tier"] for t in ripe])).select("path", "rows", "bytes", "tier")
 
     def compact(self, target: int = TARGET, fanout: int = FANOUT) -> int | None:
-        """Merge up to ``MOST_RUNS`` runs that are ripe; the new version, or None if there is none.
-
-        A run's shards are read by one task and written as one file, so no row is shuffled.
-        """
+        """Merge ripe shards, at most ``MOST_FILES``, into files of about ``target`` bytes; the new version, or None if nothing is ripe."""
         version = (self.versions() or [0])[-1]
-        runs: dict[tuple, list[str]] = {}
-        for r in self.plan(target, fanout, version).orderBy("run", "path").limit(MOST_FILES).collect():
-            runs.setdefault(tuple(r["run"]), []).append(r["path"])
-        merged = [paths for paths in runs.values() if len(paths) > 1][:MOST_RUNS]
-        if not merged:
+        tiers: dict[int, list[str]] = {}
+        for r in self.plan(target, fanout, version).orderBy("tier", "path").limit(MOST_FILES).collect():
+            tiers.setdefault(r["tier"], []).append(r["path"])
+        tiers = {t: paths for t, paths in tiers.items() if len(paths) > 1}
+        if not tiers:
             return None
-        schema = self.spark.read.parquet(merged[0][0]).schema
-        scans = [self.spark.read.schema(schema).parquet(*paths).coalesce(1) for paths in merged]
+        schema = self.spark.read.parquet(next(iter(tiers.values()))[0]).schema
+        scans = [self.spark.read.schema(schema).parquet(*paths) for paths in tiers.values()]
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        # By default a union of parts of one partition each has one partition itself.
-        known = self.spark.conf.get(_UNION, "true")
-        self.spark.conf.set(_UNION, "false")
+        wanted = _PACKING | {"spark.sql.files.maxPartitionBytes": str(target)}
+        known = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             reduce(DataFrame.unionByName, scans).write.parquet(folder)
         finally:
-            self.spark.conf.set(_UNION, known)
-        gone = self.spark.createDataFrame([(p,) for paths in merged for p in paths], "path string")
+            for k, v in known.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        gone = self.spark.createDataFrame([(p,) for paths in tiers.values() for p in paths], "path string")
         rest = self.manifest(version).join(gone, "path", "left_anti")
         return self.commit(rest.unionByName(self._written(folder)), version + 1)
 
+    def settled(self, target: int = TARGET, fanout: int = FANOUT) -> bool:
+        """Whether nothing is left to merge."""
+        return self.plan(target, fanout).isEmpty()
+
+    def sweep(self, older_than: float = 86_400.0) -> int:
+        """Delete folders of shards that no version names, such as a lost writer leaves, once they are so many seconds old; how many."""
+        fs, data = self._fs(f"{self.path}/data")
+        if not fs.exists(data):
+            return 0
+        folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+        named = set()
+        for v in self.versions():
+            named |= {r["f"] for r in self.manifest(v).select(folder.alias("f")).distinct().collect()}  # a name for each write
+        now = int(self.spark._jvm.java.lang.System.currentTimeMillis())
+        lost = [s.getPath() for s in fs.listStatus(data) if s.getPath().getName() not in named and now - s.getModificationTime() >= 1000 * older_than]
+        for p in lost:
+            fs.delete(p, True)
+        return len(lost)
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete shards and manifests that only versions before the last ``keep`` use; how many shards."""
         versions = self.versions()

@@ -8,7 +8,10 @@ be batched together. Pieces need no partner, so packing is one narrow pass:
 no shuffle, no state between rows, and no hot bucket.
 
 Defined results: a null or empty text has only the closing id, hence one piece
-of length 1; repeated rows are packed each for itself; extra columns do not matter.
+of length 1; a very long text gives full pieces and then the digits of its rest, and
+is held by its task alone; a null doc_id is kept and its pieces carry null; rows
+that repeat or tie on an id are packed each for itself; an empty table gives no
+pieces; extra columns do not matter.
 """
 
 from __future__ import annotations

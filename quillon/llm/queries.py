@@ -62,25 +62,32 @@ def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(4)) == 0
     sharded.append(docs.where(~late))
     sharded.append(docs.where(late))
+    before = sharded.manifest().count()
     while sharded.compact() is not None:
         sharded.vacuum()
-    sizes = sharded.manifest()
-    # A row for each file of the target size; a path may be written with one or three slashes.
-    name = lambda c: F.regexp_extract(c, "([^/]+/[^/]+)$", 1)
-    sizes = sizes.select(name(F.col("path")).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    rows = sharded.read(shard="shard").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), name(F.col("shard")).alias("shard"))
-    return rows.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "shard", "left")
+    # Names, sizes and numbers of shards differ from run to run; what holds of them in each does not.
+    fewer = sharded.manifest().count() <= before
+    return sharded.read().select(
+        "doc_id",
+        "source",
+        "lang",
+        "n_chars",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.lit(sharded.settled()).alias("settled"),
+        F.lit(fewer).alias("fewer_shards"),
+    )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids", "bucket")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -98,20 +105,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _quality_sql() -> str:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.STOP_WORDS)
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.FUNCTION_WORDS)
     fails = []
     for r in quality_rules.RULES:
         base = r.base or "1"
         parts = [f"{r.per} * {r.figure} < {r.low} * {base}"] * (r.low is not None) + [f"{r.per} * {r.figure} > {r.high} * {base}"] * (r.high is not None)
-        fails.append("(" + " OR ".join(parts) + ")")
+        only = "coalesce(lang, '') IN (" + ", ".join(f"'{x}'" for x in r.languages) + ") AND " if r.languages is not None else ""
+        fails.append(f"({only}(" + " OR ".join(parts) + "))")
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 win AS (SELECT rid, i, array_to_string(list_slice(words, i, i + 7), ' ') AS x FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS n FROM win) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
-f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+f AS (SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_exclamations,
              CAST(len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words, CAST(len(lines) AS BIGINT) AS n_lines,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
@@ -157,5 +165,9 @@ SELECT doc_id, min(root) AS class_id, CAST(coalesce(any_value(k), 0) AS BIGINT)
 FROM documents JOIN r ON node = doc_id LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY 1) ON x = doc_id GROUP BY doc_id"""
 
 
+_COMPACTION_SQL = """
+SELECT doc_id, source, lang, n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS settled, TRUE AS fewer_shards FROM documents"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_calls": _TOOL_CALLS_SQL, "op4_jaccard_join": _JACCARD_SQL, "op7_decontamination": _DECONTAMINATION_SQL, "op9_quality_rules": _quality_sql()}
+    return {"op8_compaction": _COMPACTION_SQL, "op3_tool_calls": _TOOL_CALLS_SQL, "op4_jaccard_join": _JACCARD_SQL, "op7_decontamination": _DECONTAMINATION_SQL, "op9_quality_rules": _quality_sql()}

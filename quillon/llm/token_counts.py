@@ -10,8 +10,9 @@ Counts equal the library's: special strings inside a text count as one token
 each, as by its default, and no begin, end or padding is added.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Texts are
-processed whole; repeated rows get equal results; other columns pass through,
-and one that clashes with an output is replaced.
+processed whole, however long; repeated rows get equal results; a count that
+equals the limit is not over it; an empty table gives an empty one; other columns pass
+through, and one that clashes with an output is replaced.
 """
 
 from __future__ import annotations

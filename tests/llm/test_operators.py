@@ -646,9 +646,11 @@ def test_compaction_edges(spark, tmp_path):
         compaction.Table(spark, f"file://{tmp_path}/none").read()
 
 
-def test_all_rows_come_back(spark, sf_dir, texts):
-    got = queries.op8_compaction(spark, sf_dir).collect()
-    assert {r["doc_id"]: r["n_bytes"] for r in got} == {i: len(t.encode()) for i, t in texts.items()} and all(r["shard_rows"] for r in got)
+def test_files_of_a_lost_writer_go(spark, tmp_path):
+    t = compaction.Table(spark, f"file://{tmp_path}/t")
+    t.append(spark.range(10))
+    spark.range(5).write.parquet(f"{t.path}/data/lost")
+    assert t.sweep() == 0 and t.sweep(0) == 1 and t.read().count() == 10 and t.sweep(0) == 0
 
 
 # --- 9: rules -----------------------------------------------------------------------------------
@@ -685,6 +687,14 @@ def test_rule_edges(spark):
     assert quality_rules.judge(df, rules=own).where("kept").count() == 7
 
 
+def test_stop_words_are_asked_of_listed_languages(spark):
+    text = "Быстрая лиса прыгает через ленивую собаку и бежит дальше по лесу к реке где живут бобры строят плотины каждый день летом"
+    rows = [(1, text, "ru"), (2, text, None), (3, text, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["failed"] for r in quality_rules.judge(df).collect()} == {1: [], 2: [], 3: ["stop_words"]}
+    assert quality_rules.judge(df.drop("lang")).where("kept").count() == 3
+
+
 def test_rules_keep_good_documents(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality_rules.judge(docs).join(labels, "doc_id").where("n_words >= 20").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
