@@ -299,4 +299,4 @@ def test_retry_and_errors():
             error = e
         return error
 
-    assert restartable(chain(Kind.EVAL, Kind.NET)) and not restartable(chain(Kind.FATAL, Kind.NET)) and not restartable(chain(Kind.EVAL, Kind.OTHER)) and len(Kind) == 19
+    assert restartable(chain(Kind.EVAL, Kind.NET)) and not restartable(chain(Kind.FATAL, Kind.NET)) and not restartable(chain(Kind.EVAL, Kind.OTHER)) and len(Kind) == 18
