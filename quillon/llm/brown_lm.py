@@ -23,9 +23,11 @@ an unseen word in its spelling's class. The emission is
 (c(w) + ALPHA) / (N(class) + ALPHA * (V(class) + 1)), the transition
 (C(a, b) + PRIOR * P(b)) / (C(a) + PRIOR), which both sum to one with one unseen word a class.
 
-Defined results: a null or empty text has one token, its end; with no training
-text all counts are 0; repeated rows are scored alike and, in training, count
-each; other columns do not matter.
+Defined results: a null or empty text has one token, its end; a very long text
+is scored whole, in parts of whole words held by its task alone; with no training
+text all counts are 0; an empty table gives an empty one; words that tie in count or
+gain are taken in order of their hashes, or stay; repeated rows are scored alike and,
+in training, count each; a null doc_id is kept; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -49,10 +51,10 @@ CLASSES = 64
 LEXICON = 1 << 20
 ALPHA = 0.1
 PRIOR = 5.0
-#: Distinct words, or words with a context, that a counting task holds before it passes them on.
+#: Distinct words, or places of words, that a counting task holds before it passes them on.
 FLUSH = 2_000_000
-#: Rows of words with a context that are assigned at once.
-BLOCK_ROWS = 32_000
+#: Places of words that are assigned at once.
+BLOCK_PLACES = 60_000
 END = np.uint64(0x5EED0FE2D0FE2D01)
 
 
@@ -210,109 +212,153 @@ def exchange(pairs: np.ndarray, end: int, classes: int = CLASSES, passes: int =
 
 
 def count_contexts(docs: DataFrame, units: Units, cls: np.ndarray) -> DataFrame:
-    """(word, code, n) of the words that are not heads, in parts: how often a class stands beside a word.
+    """(word, unit, beside) of the words that are not heads, in parts.
 
-    code is 256 times the word's spelling unit, plus the class that follows, or CLASSES and the
-    class before, or twice CLASSES where the word follows itself.
+    ``beside`` has two bytes for each place of the word: the class that follows, or CLASSES where
+    the word follows itself, and the class before, or CLASSES where that is counted there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sums(h: np.ndarray, code: np.ndarray, n: np.ndarray):
-            _, n, at = merged(mix(h) + code.astype(np.uint64) * END, n)
-            return h[at], code[at], n
-
-        def out(h, code, n):
-            for lo in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + 100_000].view(np.int64)), pa.array(code[lo : lo + 100_000].astype(np.int32)), pa.array(n[lo : lo + 100_000])], ["word", "code", "n"])
+        def out(parts):
+            h, unit, pair = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h)
+            h, unit, pair = h[order], unit[order], pair[order]
+            begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            for lo in range(0, len(begin), 100_000):
+                at = begin[lo : lo + 100_000]
+                to = begin[lo + 100_000] if lo + 100_000 < len(begin) else len(h)
+                cut = pa.py_buffer((2 * (np.r_[at, to] - at[0])).astype(np.int32))
+                beside = pa.Array.from_buffers(pa.binary(), len(at), [None, cut, pa.py_buffer(pair[at[0] : to])])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(unit[at]), beside], ["word", "unit", "beside"])
 
         held, size = [], 0
         for batch in batches:
             for _, h, unit, first in token_chunks(batch.column("text")):
                 u = units.of(h, unit)
-                c = cls[u]
+                c = cls[u].astype(np.uint8)
                 i = np.flatnonzero(u < SPELLINGS)  # no head, no end: so a next token there is
                 starts = np.zeros(len(h), bool)
                 starts[first[:-1]] = True
-                before = np.where(starts[i], 0, c[i - 1])
-                again = h[i + 1] == h[i]
-                same = ~starts[i] & (h[i - 1] == h[i])
-                code = np.r_[np.where(again, 2 * CLASSES, c[i + 1]), (CLASSES + before)[~same]] + 256 * np.r_[u[i], u[i[~same]]]
-                part = sums(np.r_[h[i], h[i[~same]]], code, np.ones(len(code)))
-                held.append(part)
-                size += len(part[0])
+                pair = np.empty((len(i), 2), np.uint8)
+                pair[:, 0] = np.where(h[i + 1] == h[i], CLASSES, c[i + 1])
+                pair[:, 1] = np.where(starts[i], 0, np.where(h[i - 1] == h[i], CLASSES, c[i - 1]))
+                held.append((h[i], u[i].astype(np.int32), pair))
+                size += len(i)
                 if size > FLUSH:
-                    held = [sums(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > FLUSH // 2:
-                        yield from out(*held[0])
-                        held, size = [], 0
-        if held:
-            yield from out(*sums(*(np.concatenate(x) for x in zip(*held, strict=True))))
-
-    return docs.select("text").mapInArrow(run, "word long, code int, n long")
+                    yield from out(held)
+                    held, size = [], 0
+        if size:
+            yield from out(held)
+
+    return docs.select("text").mapInArrow(run, "word long, unit int, beside binary")
+
+
+class Gains:
+    """By how much a word raises the likelihood of the class bigrams in each class."""
+
+    #: Counts up to which the terms are tabled.
+    TABLED = 8
+
+    def __init__(self, grid: np.ndarray):
+        self.grid = grid
+        self.sides = [self._table(grid.T), self._table(grid)]
+        self.sums = [grid.sum(1), grid.sum(0)]
+
+    def _table(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.arange(1, self.TABLED + 1)[:, None, None]
+        return g, (xlogx(g + n) - xlogx(g)).reshape(-1, g.shape[1])
+
+    def best(self, after: np.ndarray, before: np.ndarray, itself: np.ndarray, cur: np.ndarray) -> np.ndarray:
+        """Class of each word: where the likelihood is highest when that word alone moves; it stays in a tie.
+
+        after, before: words x classes counts of what follows and precedes, without ``itself``, how often
+        the word follows itself. ``cur`` is its class now, and the word is among the grid's counts there.
+        """
+        m, classes = after.shape
+        every = np.arange(m)
+        gain = np.zeros((m, classes))
+        # A side at a time: adding the word to class k changes grid[k, j] by after[j], and grid[i, k] by before[i].
+        for mine, other, (g, table) in ((after, before, self.sides[0]), (before, after, self.sides[1])):
+            w, j = np.nonzero(mine)
+            if not len(w):
+                continue
+            n, c, at = mine[w, j].astype(np.int64), cur[w], np.arange(len(w))
+            easy = (j != c) & (n <= self.TABLED)
+            rise = table[(np.where(easy, n, 1) - 1) * classes + j]
+            left = g[j, c]  # without the word: it leaves the row and column of its class
+            rise[at, c] = xlogx(left) - xlogx(left - n)
+            hard = np.flatnonzero(~easy)
+            if len(hard):
+                w_, j_, n_, c_ = w[hard], j[hard], n[hard], c[hard]
+                was = g[j_]
+                corner = j_ == c_
+                was[corner] -= other[w_[corner]]
+                was[np.arange(len(hard)), c_] -= n_ + np.where(corner, itself[w_], 0)
+                rise[hard] = xlogx(was + n_[:, None]) - xlogx(was)
+            begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            many = np.diff(np.r_[begin, len(w)])
+            for r in range(int(many.max())):  # the r-th entry of each word that has so many, at most one for each class
+                begin, many = begin[many > r], many[many > r]
+                gain[w[begin + r]] += rise[begin + r]
+        # The corner, where a class meets itself: more than the two sides only where the word has both there, or itself.
+        w, k = np.nonzero(((after > 0) & (before > 0)) | (itself > 0)[:, None])
+        a, b, s = after[w, k], before[w, k], itself[w]
+        diag = np.diag(self.grid)[k] - np.where(k == cur[w], a + b + s, 0)
+        gain[w, k] += xlogx(diag + a + b + s) - xlogx(diag + a) - xlogx(diag + b) + xlogx(diag)
+        for mine, sums in zip((after, before), self.sums, strict=True):
+            total = mine.sum(1) + itself
+            size, inverse = np.unique(total, return_inverse=True)
+            less = (xlogx(sums + size[:, None]) - xlogx(sums))[inverse]
+            own = sums[cur]
+            less[every, cur] = xlogx(own) - xlogx(own - total)
+            gain -= less
+        gain[:, 0] = -np.inf
+        best = gain.argmax(1)
+        return np.where(gain[every, best] > gain[every, cur] + 1e-9, best, cur)
 
 
 def best_classes(after: np.ndarray, before: np.ndarray, itself: np.ndarray, cur: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Class of each word: where the likelihood is highest when that word alone moves; it stays in a tie.
-
-    after, before: words x classes counts of what follows and precedes, without ``itself``, how often
-    the word follows itself. ``cur`` is its class now and grid the class bigrams, the word's among them.
-    """
-    m, classes = after.shape
-    every = np.arange(m)
-    gain = np.zeros((m, classes))
-    # A side at a time: adding the word to class k changes grid[k, j] by after[j], and grid[i, k] by before[i].
-    for mine, other, g in ((after, before, grid.T), (before, after, grid)):
-        w, j = np.nonzero(mine)
-        if not len(w):
-            continue
-        n, c = mine[w, j], cur[w]
-        was = g[j]  # then without the word: it leaves row and column of its class
-        corner = j == c
-        was[corner] -= other[w[corner]]
-        was[np.arange(len(w)), c] -= n + np.where(corner, itself[w], 0)
-        rise = xlogx(was + n[:, None]) - xlogx(was)
-        begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        gain[w[begin]] += np.add.reduceat(rise, begin)
-    diag = np.tile(np.diag(grid), (m, 1))
-    diag[every, cur] -= after[every, cur] + before[every, cur] + itself
-    gain += xlogx(diag + after + before + itself[:, None]) - xlogx(diag + after) - xlogx(diag + before) + xlogx(diag)
-    for mine, sums in ((after, grid.sum(1)), (before, grid.sum(0))):
-        total = mine.sum(1) + itself
-        rest = np.tile(sums, (m, 1))
-        rest[every, cur] -= total
-        gain -= xlogx(rest + total[:, None]) - xlogx(rest)
-    gain[:, 0] = -np.inf
-    best = gain.argmax(1)
-    return np.where(gain[every, best] > gain[every, cur] + 1e-9, best, cur)
+    return Gains(grid).best(after, before, itself, cur)
 
 
 def assign(contexts: DataFrame, cls: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """(word, unit, n, cls) of each word of contexts (word, code, n)."""
-
-    def block(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        owner = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(word)]))
-        width = 2 * CLASSES + 1
-        counts = np.bincount(owner * width + code % 256, n, len(begin) * width).reshape(-1, width)
-        after, before, itself = counts[:, :CLASSES], counts[:, CLASSES : 2 * CLASSES], counts[:, 2 * CLASSES]
-        unit = code[begin] // 256
-        own = best_classes(after, before, itself, cls[unit], grid)
-        total = (after.sum(1) + itself).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(word[begin]), pa.array(unit.astype(np.int32)), pa.array(total), pa.array(own.astype(np.int32))], ["word", "unit", "n", "cls"])
+    """(word, unit, n, cls) of each word of contexts (word, unit, beside)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(grid)
+        width = CLASSES + 1
+
+        def block(word, unit, places, pairs) -> pa.RecordBatch:
+            """Of whole words: a row of word and unit with its number of places, and the places' pairs."""
+            begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            m = len(begin)
+            owner = np.repeat(np.cumsum(np.r_[False, word[1:] != word[:-1]]), places)
+            counts = [np.bincount(owner * width + pairs[:, k], minlength=m * width).reshape(m, width) for k in (0, 1)]
+            after, before, itself = counts[0][:, :CLASSES].astype(float), counts[1][:, :CLASSES].astype(float), counts[0][:, CLASSES].astype(float)
+            unit = unit[begin]
+            own = gains.best(after, before, itself, cls[unit])
+            return pa.RecordBatch.from_arrays([pa.array(word[begin]), pa.array(unit), pa.array(counts[0].sum(1)), pa.array(own.astype(np.int32))], ["word", "unit", "n", "cls"])
+
         held, size = [], 0
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            size += batch.num_rows
-            if size >= BLOCK_ROWS:
-                word, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
-                if cut:
-                    yield block(word[:cut], code[:cut], n[:cut])
-                held, size = [[word[cut:], code[cut:], n[cut:]]], size - cut
-        if size:
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
+                beside = part.column("beside").cast(pa.large_binary())
+                cut = np.frombuffer(beside.buffers()[1], np.int64)[beside.offset : beside.offset + len(beside) + 1]
+                pairs = np.frombuffer(beside.buffers()[2], np.uint8)[cut[0] : cut[-1]].reshape(-1, 2) if cut[-1] > cut[0] else np.zeros((0, 2), np.uint8)
+                held.append((part.column("word").to_numpy(), part.column("unit").to_numpy(), np.diff(cut) // 2, pairs))
+                size += len(pairs)
+                if size < BLOCK_PLACES and sum(len(x[0]) for x in held) < BLOCK_PLACES:
+                    continue
+                word, unit, places, pairs = (np.concatenate(x) for x in zip(*held, strict=True))
+                at = int(np.searchsorted(word, word[-1]))  # the last word may go on
+                if not at:  # nothing but one frequent word, of which there is more
+                    held, size = [(word, unit, places, pairs)], len(pairs)
+                    continue
+                whole = int(places[:at].sum())
+                yield block(word[:at], unit[:at], places[:at], pairs[:whole])
+                held, size = [(word[at:], unit[at:], places[at:], pairs[whole:])], len(pairs) - whole
+        if held:
             yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, unit int, n long, cls int")

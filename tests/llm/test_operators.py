@@ -345,6 +345,47 @@ def test_scores(docs, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("lexicon", [1 << 20, 1500])
+def test_scores_by_brute_force(spark, docs, texts, monkeypatch, lexicon):
+    """Each score from the classes of the words, with transitions and emissions counted one token at a time."""
+    import math
+
+    import pyarrow as pa
+
+    from quillon.llm.common import Scratch, remainder
+
+    monkeypatch.setattr(brown_lm, "LEXICON", lexicon)
+    got = {r["doc_id"]: r for r in brown_lm.held_out_score(docs).collect()}
+    model, classed, _ = brown_lm.train(docs.where(remainder(F.col("doc_id"), 10) != 0).select("text"), Scratch(spark, "t"))
+    rows = classed.collect()
+    own, count = {r["word"]: r["cls"] for r in rows}, {r["word"]: r["n"] for r in rows}
+    inside, kinds = collections.Counter(), collections.Counter()
+    for r in rows:
+        inside[r["cls"]] += r["n"]
+        kinds[r["cls"]] += 1
+    tokens, unknown = {}, {}
+    for i, t in texts.items():
+        _, h, unit, _ = next(brown_lm.token_chunks(pa.array([t])))
+        tokens[i] = h.view(np.int64).tolist()
+        unknown.update((w, int(model.cls[u])) for w, u in zip(tokens[i], unit.tolist(), strict=True) if w not in own)
+    pair = collections.Counter()
+    for i, h in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            pair.update(zip([0] + [own[w] for w in h[:-1]], [own[w] for w in h], strict=True))
+    after = collections.Counter()
+    for (a, _), n in pair.items():
+        after[a] += n
+    prior = {c: (inside[c] + 1) / sum(inside[x] + 1 for x in range(brown_lm.CLASSES)) for c in range(brown_lm.CLASSES)}
+    for i, h in tokens.items():
+        total, last = 0.0, 0
+        for w in h:
+            c = own.get(w, unknown.get(w))
+            total += math.log10((pair[last, c] + brown_lm.PRIOR * prior[c]) / (after[last] + brown_lm.PRIOR))
+            total += math.log10((count.get(w, 0) + brown_lm.ALPHA) / (inside[c] + brown_lm.ALPHA * (kinds[c] + 1)))
+            last = c
+        assert math.isclose(got[i]["score"], total, rel_tol=1e-9), i
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     """With a small lexicon most counts come by the join; the scores stay."""
     whole = {r["doc_id"]: r["score"] for r in brown_lm.held_out_score(docs).collect()}
