@@ -161,6 +161,105 @@ def test_unique_words_of_a_block_stay(spark):
         assert got == {i: f"{own(i, 5)} {own(-i, 1 + 9 * (i % 2))}" for i in range(1, 7)}
 
 
+def test_attributes_are_read_whole():
+    """Names and values inside other values, and names of content, do not put text away."""
+    kept = ['title="a hidden gem"', 'data-hidden="false"', 'data-style="display:none"', 'data-role="ad"', 'data-id="share-1"', "title='class=\"ad\"'", 'class="social-science"', 'id="notice-of-meeting"', 'class="comments-policy-article"', "class=lead data-x=a>b"]
+    for a in kept[:-1]:
+        assert html_extraction.blocks(f"<article><p {a}>Hello</p></article>") == [(1, "Hello")], a
+        assert html_extraction.blocks(f"<div {a}><p>Hello</p></div>") == [(0, "Hello")], a
+    away = ["hidden", 'hidden=""', "HIDDEN", 'class="ad"', "class=ad", 'id="cookie-notice"', 'class="x siteFooter"', 'style="color:red; display: none"', "aria-hidden='true'", 'class="comment-list"', 'role="navigation"']
+    for a in away:
+        assert html_extraction.blocks(f"<div {a}><p>Hello</p></div>") in ([(2, "Hello")], [(3, "Hello")]), a
+    assert html_extraction.blocks('<p><a href="/x">A long link that is all of its paragraph</a></p><li><a href="/y">Home</a></li>') == [(0, "A long link that is all of its paragraph"), (2, "Home")]
+
+
+def test_markup_is_read_in_one_pass():
+    """Broken mark-up takes time in proportion to its length."""
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        html_extraction.blocks(page)
+        return time.process_time() - began
+
+    n = 8000
+    for page in ("<p data='" * n, "<p data='>" * n, "<p a=\"x' b='y\">" * n, "<b>" * n + "</span>" * n, "<div>" * n + "</span>" * n, "<span>" + "<div>" * n + "</span>" * n, "<i>" + "<b>" * n + "</i></u>" * n, "<" * 9 * n, "<!--" * n, "<script>" * n, "<a " + " " * 9 * n, "<p x" + "=" * 9 * n, "<p>x" * n, "</" * n, "<li><b>" * n):
+        assert seconds(page) < 0.5, page[:20]
+    assert html_extraction.blocks("<p class='x>one</p><p>two</p>") == [(0, "one"), (0, "two")]
+
+
+def open_pages(seed, n=40):
+    """Pages without an article: shared and own runs of words in mixed blocks, and copies."""
+    rng = random.Random(seed)
+    own = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 15)))
+    stock = [" ".join(f"s{k}x{rng.randrange(6)}" for _ in range(rng.choice([6, 8, 9, 20]))) for k in range(8)]
+    rows = []
+    for i in range(n):
+        body = "".join(f"<div>{' '.join(rng.choice([own(), rng.choice(stock[: 2 + i % 7])]) for _ in range(rng.randrange(1, 4)))}</div>" for _ in range(rng.randrange(1, 5)))
+        rows += [(len(rows) + k, f"https://h{i % 3}.example/{i}", f"<html><body>{body}<nav>menu {k}</nav></body></html>") for k in range(rng.choice([1, 1, 1, 4]))]
+    return rows
+
+
+def runs_removed(rows, run=8, share=20):
+    """The definition, page by page: words in a run that is on two contents and a twentieth of a host's go."""
+    hosts = collections.defaultdict(list)
+    for i, url, html in rows:
+        parts = [" ".join(re.sub("<[^>]+>", " ", x).split()) for x in re.findall(r"<div>(.*?)</div>", html)]
+        hosts[url.split("/")[2]].append((i, [p for p in parts if p]))
+    out = {}
+    for mine in hosts.values():
+        on = collections.defaultdict(set)
+        for _, parts in mine:
+            w = " ".join(parts).split()
+            for k in range(len(w) - run + 1):
+                on[tuple(w[k : k + run])].add(tuple(parts))
+        n = len({tuple(parts) for _, parts in mine if parts})
+        for i, parts in mine:
+            w = " ".join(parts).split()
+            gone = {p for k in range(len(w) - run + 1) if (m := len(on[tuple(w[k : k + run])])) >= 2 and share * m >= n for p in range(k, k + run)}
+            texts, at = [], 0
+            for p in parts:
+                size = len(p.split())
+                texts.append(" ".join(x for k, x in enumerate(p.split(), at) if k not in gone))
+                at += size
+            out[i] = "\n\n".join(t for t in texts if t)
+    return out
+
+
+@pytest.mark.parametrize("group", [3, 64])
+def test_pages_without_an_article_by_brute_force(spark, group):
+    for seed in (1, 2):
+        rows = open_pages(seed)
+        want = runs_removed(rows)
+        got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages(spark, *rows), group=group).collect()}
+        assert got == want and any(want.values()) and sum(map(len, want.values())) < sum(len(re.sub("<[^>]+>", "", h)) for _, _, h in rows)
+
+
+@pytest.mark.parametrize("group", [5, 64])
+def test_a_line_in_most_articles_goes(spark, group):
+    """Inside articles just a whole short block that half of a host's pages have; quotes and copies stay."""
+    quote = " ".join(f"quoted{j}" for j in range(30))
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(25))
+    line = "<p>Sign up for our weekly letter</p>"
+    rows = [(i, "https://h.example/a", f"<article><h1>Title number {i} here</h1><p>{body(i)}</p>{line}" + (f"<p>{quote}</p>" if i < 6 else "") + "</article>") for i in range(20)]
+    rows += [(100 + i, "https://h.example/a", rows[0][2]) for i in range(30)]
+    rows += [(200 + i, "https://small.example/a", f"<article><p>{body(i)}</p>{line}</article>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages(spark, *rows), group=group).collect()}
+    assert got[0] == f"Title number 0 here\n\n{body(0)}\n\n{quote}" == got[110] and got[9] == f"Title number 9 here\n\n{body(9)}"
+    assert got[203] == f"{body(3)}\n\nSign up for our weekly letter"
+
+
+def test_odd_pages(spark):
+    """Null, repeated and large ids, a very long page, an empty host, ties, clashing columns and an empty table."""
+    long = "<p>" + " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, None, "<p>a"), (None, None, "<p>b"), (2**60 + 1, "", "<p>c"), (7, "x", long), (7, "x", "<p>d"), (7, "x", "<p>d"), (8, "https://EXAMPLE/é", None)]
+    df = pages(spark, *rows).withColumns({c: F.lit("clash") for c in ("host", "text", "shard", "groups", "many", "key")})
+    for group in (2, 64):
+        got = sorted((r["page_id"] or 0, r["text"][:3], r["n_chars"]) for r in html_extraction.extract(df, group=group).collect())
+        assert got == [(0, "a", 1), (0, "b", 1), (7, "d", 1), (7, "d", 1), (7, "w0 ", len(long) - 3), (8, "", 0), (2**60 + 1, "c", 1)]
+    assert html_extraction.extract(df.limit(0)).count() == 0
+
+
 # --- 2: languages -----------------------------------------------------------------
 
 
