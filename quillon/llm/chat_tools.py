@@ -1,23 +1,27 @@
 """Chat formatting: linking tool calls to their results.
 
 Calls and results are hash-joined by conversation and identifier. Calls are
-ordered so that each follows all it depends on: ``level`` 0 where the turns are
-in such an order already, so (level, turn) orders a conversation; only
-conversations with a dependency on a later turn are levelled in rounds, each of
-which settles every call whose dependencies are settled. Arguments are
-validated against per-tool schemas compiled to one expression, and written as
-canonical JSON: keys sorted, no blanks, by way of Spark's variant type.
-
-All of it is DataFrame functions. No conversation is gathered: a hot one only
-meets its own rows by (conversation, identifier).
+ordered so that each follows all it depends on: ``level`` is the length of the longest
+chain of dependencies below a call, so (level, turn) orders a conversation.
+Levels come by doubling: round k knows which calls lie exactly 2^k dependencies below a call,
+and joins these steps with themselves, so the rounds are the logarithm of the
+longest chain. Arguments are validated against per-tool schemas compiled to one
+expression, and written as canonical JSON by way of Spark's variant type: keys sorted,
+no blanks, and numbers as ECMAScript writes them, so 1.0, 1 and 1e0 are all 1.
+
+All of it is DataFrame functions. No conversation is gathered: the rows of a hot one
+meet by (conversation, identifier). Steps are as many as the calls of a chain, or the
+calls times the width where dependencies fan out and in again.
 
 Defined results: arguments that are null, no JSON or no object are ``invalid_json``
 and have null canonical JSON; a tool without a schema is ``unknown_tool``; a call
 with no result has null content and ``linked`` false; of several results the one of
-the least turn is taken, then of the least content; repeated calls are one per
-distinct row; a dependency on an unknown call is ``missing_dependency``, one on
-itself or in a cycle ``cycle`` with null level; rows with a null conversation or
-identifier are returned unlinked. Other columns do not matter.
+the least turn is taken, then of the least content; a result of no call is a row of its own,
+``unknown_call`` and not linked, with a null tool and level; repeated calls are one per
+distinct row; a dependency on an unknown call is ``missing_dependency`` and counts for no level,
+one on itself or in a cycle, or on what is in one, ``cycle`` with null level; rows with
+a null conversation or identifier are returned unlinked; very long arguments and contents are
+taken whole; empty tables give an empty one. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -50,9 +54,28 @@ class Parameter:
 Schemas = dict[str, tuple[Parameter, ...]]
 
 
+#: Strings and numbers of a JSON text.
+_SCALARS = r'"(?:[^"\\]|\\.)*+"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?'
+
+
+def number(text: Column) -> Column:
+    """A JSON number as ECMAScript writes it; an integer stays as it is, of whatever length."""
+    size = F.abs(text.cast("double"))
+    # Between these bounds without an exponent, with as many places as a double may need.
+    plain = F.when(size >= 1, text.cast("decimal(38,16)").cast("string")).otherwise(F.regexp_replace(F.format_number(text.cast("decimal(38,25)"), 25), ",", ""))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    power = F.regexp_replace(F.regexp_replace(text.cast("double").cast("string"), r"\.0E", "E"), r"E(?=[0-9])", "e+")
+    return F.when(~text.rlike("[.eE]"), text).when(size == 0, F.lit("0")).when((size >= 1e-6) & (size < 1e21), plain).otherwise(F.replace(power, F.lit("E-"), F.lit("e-")))
+
+
 def canonical(args: Column) -> Column:
-    """Canonical JSON of a JSON text: sorted keys and no blanks; null if it is none."""
-    return F.to_json(F.try_parse_json(args))
+    """Canonical JSON of a JSON text: sorted keys, no blanks, one form for each number; null if it is none."""
+    text = F.to_json(F.try_parse_json(args))
+    tokens = F.regexp_extract_all(text, F.lit(_SCALARS), F.lit(0))
+    written = F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(number(t)))
+    between = F.split(text, _SCALARS, -1)
+    whole = F.array_join(F.zip_with(between, written, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    return F.when(text.rlike("[0-9][.eE]"), whole).otherwise(text)
 
 
 def problems(tool: Column, args: Column, schemas: Schemas) -> Column:
@@ -83,43 +106,47 @@ def problems(tool: Column, args: Column, schemas: Schemas) -> Column:
 
 
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, level, missing) of calls (conv_id, call_id, turn, depends_on)."""
-    nodes = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).where(F.col("needs").isNotNull()).distinct()
-    other = nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
-    met = edges.join(other, ["conv_id", "needs"], "left").join(nodes, ["conv_id", "call_id"])
-    edge = scratch.put(met.select("conv_id", "call_id", "needs", F.col("needs_turn").isNull().alias("missing"), (F.col("needs_turn") >= F.col("turn")).alias("back")), "edges")
-    missing = edge.groupBy("conv_id", "call_id").agg(F.max("missing").alias("missing"))
-    odd = edge.where("back").select("conv_id").distinct()
-    level = nodes.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    if not odd.isEmpty():
-        open_edges = edge.where(~F.col("missing")).join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "needs")
-        todo = scratch.put(nodes.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"), "todo")
-        round_ = 0
-        while not todo.isEmpty():
-            waiting = open_edges.join(todo.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-            ready = scratch.put(todo.join(waiting, ["conv_id", "call_id"], "left_anti"), "ready")
-            if ready.isEmpty():  # what is left waits for itself
-                level = level.union(todo.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
-                break
-            level = level.union(ready.select("conv_id", "call_id", F.lit(round_).alias("level")))
-            todo, old = scratch.put(todo.join(ready, ["conv_id", "call_id"], "left_anti"), "todo"), todo
-            scratch.drop(old)
-            round_ += 1
-    return level.join(missing, ["conv_id", "call_id"], "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
+    """(conv_id, call_id, level, missing) of calls (conv_id, call_id, depends_on)."""
+    key = ["conv_id", "call_id"]
+    nodes = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).select(*key).distinct()
+    edges = calls.select(*key, F.explode("depends_on").alias("needs")).where(F.col("needs").isNotNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).distinct()
+    there = nodes.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
+    edge = scratch.put(edges.join(there, ["conv_id", "needs"], "left"), "edges")
+    missing = edge.where("there is null").select(*key, F.lit(True).alias("missing")).distinct()
+    # Levels below 2^k are known in round k; ``step`` has what lies exactly 2^k dependencies below a call.
+    level = scratch.put(nodes.withColumn("level", F.lit(0)), "levels")
+    step = scratch.put(edge.where("there").select(*key, "needs"), "steps")
+    most = level.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    k = 0
+    while not step.isEmpty() and 1 << k < 2 * most:
+        below = level.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("below"))
+        more = step.join(below, ["conv_id", "needs"]).groupBy(*key).agg((F.max("below") + F.lit(1 << k)).alias("more"))
+        known, walked = level, step
+        level = scratch.put(level.join(more, key, "left").select(*key, F.coalesce("more", "level").alias("level")), "levels")
+        onward = step.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("further"))
+        step = scratch.put(step.join(onward, ["conv_id", "needs"]).select(*key, F.col("further").alias("needs")).distinct(), "steps")
+        scratch.drop(known)
+        scratch.drop(walked)
+        k += 1
+    # A chain of more steps than a conversation has calls goes round in a cycle.
+    endless = step.select(*key, F.lit(True).alias("endless")).distinct()
+    level = level.join(endless, key, "left").join(missing, key, "left")
+    return level.select(*key, F.when(F.col("endless").isNull(), F.col("level")).alias("level"), F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call: conv_id, call_id, turn, tool, level, linked, valid, errors, json.
+    """One row per call, and per result of no call: conv_id, call_id, turn, tool, level, linked, valid, errors, json.
 
     calls: conv_id, call_id, turn, tool, args (JSON text), depends_on (array of call ids).
     results: conv_id, call_id, turn, content. ``json`` is the canonical record of the call and its result.
     """
+    key = ["conv_id", "call_id"]
     calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), "turn", "tool", "args", F.coalesce(F.col("depends_on"), F.array().cast("array<string>")).alias("depends_on")).distinct()
-    first = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", F.col("call_id").cast("string").alias("call_id"))
-    result = first.agg(F.min(F.struct("turn", "content")).alias("result"))
+    results = results.select("conv_id", F.col("call_id").cast("string").alias("call_id"), "turn", "content")
+    whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    result = results.where(whole).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("result"))
     placed = levels(calls, Scratch(calls.sparkSession, "calls"))
-    joined = calls.hint("shuffle_hash").join(result, ["conv_id", "call_id"], "left").join(placed, ["conv_id", "call_id"], "left")
+    joined = calls.hint("shuffle_hash").join(result, key, "left").join(placed, key, "left")
     joined = joined.withColumn("canonical", canonical(F.col("args"))).withColumn("wrong", problems(F.col("tool"), F.col("args"), schemas))
     more = F.array_compact(F.array(F.when(F.col("missing"), F.lit("missing_dependency")), F.when(F.col("missing").isNotNull() & F.col("level").isNull(), F.lit("cycle"))))
     errors = F.concat("wrong", more)
@@ -127,7 +154,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     # Names in alphabetic order; null fields are left out.
     head = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("result.content").alias("result"), F.col("tool").alias("tool")))
     record = F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(","), F.substring(head, 2, 2**31 - 1))
-    return joined.select("conv_id", "call_id", "turn", "tool", "level", linked.alias("linked"), (F.size(errors) == 0).alias("valid"), errors.alias("errors"), record.alias("json"))
+    asked = joined.select(*key, "turn", "tool", "level", linked.alias("linked"), (F.size(errors) == 0).alias("valid"), errors.alias("errors"), record.alias("json"))
+    alone = result.join(calls.where(whole).select(*key).distinct(), key, "left_anti").select(*key, "result.turn", "result.content")
+    alone = alone.unionByName(results.where(~whole).distinct())
+    record = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")))
+    none = lambda t: F.lit(None).cast(t)
+    return asked.unionByName(
+        alone.select(*key, "turn", none("string").alias("tool"), none("int").alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.array(F.lit("unknown_call")).alias("errors"), record.alias("json"))
+    )
 
 
 #: The tool that the turns of a plain conversation are calls of.
