@@ -1,30 +1,33 @@
 """Benchmark decontamination with a positional inverted index.
 
-``postings`` are (document, term, position) rows of the training tokens. A
-benchmark window is looked up from its rarest term: the postings of that term
-give aligned places (position minus the term's offset), and the other terms'
-positions are intersected at those places. Windows with a term that no document has
-are dropped before.
-
-There are two ways. ``build_index`` stores all postings, and ``search`` intersects
-the stored lists: for a corpus that is searched again and again. ``phrases`` goes over the documents
-once for one set of items: it posts only the terms that are some window's
-rarest, and the other terms are intersected in the words around each posting, before
-it leaves the document; so no list of a frequent term is ever built.
-
-All of it is DataFrame functions. Terms of the benchmark are broadcast while
-their number is below ``BROADCAST_TERMS``; beyond, the same join shuffles. Frequent
-terms are never a shuffle key of their own then, as postings are salted.
-
-Defined results: a null text has no words; an item of no words has no window,
-an item of fewer than ``width`` words is one window; items of equal text or rows
-that repeat an item_id count by id; a null item_id is ignored. Repeated
-documents each get their row, and so do those of a null id. Extra columns do not matter.
+``build_index`` stores two tables: the documents with their words, numbered, and
+the postings (term, document number, position) of the training tokens, each segment
+sorted by term. ``search`` looks a benchmark window up from its rarest term: the
+postings of that term give aligned starts (position minus the term's offset in the window), and
+the other terms' postings, shifted by their offsets, are intersected at those starts. Windows with a term that no
+document has are dropped before. With ``slop`` 0 a match is the exact phrase. With
+more, it is proximity: every other term occurs at most ``slop`` places from where the phrase has it.
+
+An index serves any benchmark; ``report`` builds one of the terms that its own benchmark has, as
+no other posting can match. Terms and windows are told by 64-bit hashes, so every table
+beside the documents has rows of a few numbers. One of at most ``BROADCAST_ROWS`` such rows, 40 bytes
+each, is broadcast; beyond, the same join shuffles, and postings are salted, as a frequent term is one key.
+All of it is DataFrame functions.
+
+Defined results: a null text has no words; an item of no words has no window, an
+item of fewer than ``width`` words is one window; items of equal text, or rows that
+repeat an item_id, count by id; a null item_id is ignored. Repeated documents each
+get their row, and so do those of a null id, as rows are told by number. Windows that tie on their rarest term are each
+looked up. Very long texts and items are whole: each adds rows in proportion to its
+words, and no row holds more than a document's words. An empty table of documents gives an empty
+report, and an empty benchmark one without hits. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +36,8 @@ from .common import Scratch, ascii_lower
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-#: Rows of benchmark terms or anchors up to which they are broadcast (some 100 bytes a row).
-BROADCAST_TERMS = 200_000
+#: Rows of numbers up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
 SALTS = 64
 
 
@@ -43,126 +46,99 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), APART, -1), "")
 
 
-def postings(docs: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """(keys, words, term, pos) of every word; words is carried along for the places around it."""
-    # The outer form keeps the optimizer from computing the words twice, to filter and to explode.
-    return docs.select(*keys, words, F.posexplode_outer(words).alias("pos", "term"))
-
-
-def small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_TERMS else df
-
-
-def look_up(posted: DataFrame, table: DataFrame, n: int, salt: Column | None = None) -> DataFrame:
-    """posted joined with a table on ``term``; salted where the table is too large to broadcast."""
-    if n <= BROADCAST_TERMS:
+def look_up(posted: DataFrame, table: DataFrame) -> DataFrame:
+    """posted (term, n, ...) joined with a table of numbers on ``term``; salted where that is too large to broadcast."""
+    if table.count() <= BROADCAST_ROWS:
         return posted.join(F.broadcast(table), "term")
-    posted = posted.withColumn("salt", F.pmod(F.xxhash64("pos" if "pos" in posted.columns else "n") if salt is None else salt, F.lit(SALTS)))
-    return posted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long")), ["term", "salt"]).drop("salt")
-
-
-def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(item_id, words, starts, size) of each item that has words."""
-    out = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), word_list(F.col(text)).alias("item_words")).where(F.size("item_words") > 0).distinct()
-    size = F.least(F.lit(width), F.size("item_words"))
-    return out.withColumn("size", size).withColumn("starts", F.sequence(F.lit(0), F.size("item_words") - size))
-
-
-def anchors(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, item_id, item_words, size, at, starts): each window under its rarest term.
-
-    posted: (term, n) rows whose sum of n is how often a term occurs. ``at`` is the term's place in
-    the item and ``starts`` are the windows that it stands for. Windows with a term that
-    occurs nowhere are left out.
-    """
-    terms = found.select(F.explode("item_words").alias("term")).distinct()
-    n = terms.count()
-    often = look_up(posted, terms, n).groupBy("term").agg(F.sum("n").alias("df"))
-    at = found.select("item_id", "item_words", "size", "starts", F.posexplode("item_words").alias("at", "term")).join(small(often, n), "term", "left")
-    ranked = at.groupBy("item_id", "item_words", "size", "starts").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("r"))
-    each = ranked.select("item_id", "item_words", "size", "r", F.explode("starts").alias("start"))
-    rarest = each.withColumn("rare", F.array_min(F.transform(F.slice("r", F.col("start") + 1, F.col("size")), lambda x: F.struct(x["df"], x["term"], x["at"]))))
-    return (
-        rarest.where(F.col("rare.df") > 0)
-        .groupBy(F.col("rare.term").alias("term"), "item_id", "item_words", "size", F.col("rare.at").alias("at"))
-        .agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    )
-
-
-def build_index(docs: DataFrame, keys: list[str], path: str, text: str = "text", buckets: int = 64) -> None:
-    """Store the positional index of docs: (term, keys, positions), in folders by a hash of the term."""
-    posted = postings(docs.select(*keys, word_list(F.col(text)).alias("words")), keys, "words").where(F.col("term").isNotNull())
-    lists = posted.groupBy("term", *keys).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    lists.withColumn("bucket", _bucket(buckets)).write.partitionBy("bucket").parquet(path)
-
-
-def _bucket(n: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")
-
-
-def search(index: DataFrame, items: DataFrame, keys: list[str], width: int = WIDTH, slop: int = 0) -> DataFrame:
-    """(keys, item_id, start, size): what ``phrases`` finds, from a stored index of the documents."""
-    found = windows(items, width=width)
-    terms = found.select(F.explode("item_words").alias("term")).distinct()
-    lists = look_up(index.select("term", *keys, "positions"), terms, terms.count(), salt=F.xxhash64(*keys))
-    table = anchors(lists.select("term", F.size("positions").cast("long").alias("n")), found)
-    near = look_up(lists, table, table.count(), salt=F.xxhash64(*keys)).select(*keys, "item_id", "item_words", "size", "at", "starts", F.explode("positions").alias("pos"))
-    place = near.select(*keys, "item_id", "item_words", "size", F.explode("starts").alias("s"), "pos", "at").withColumn("start", F.col("pos") - F.col("at") + F.col("s")).where(F.col("start") >= 0)
-    # Every term of the window at its place: the list of each, shifted by its offset, has to have the start.
-    wanted = place.select(*keys, "item_id", "start", "size", "s", F.posexplode(F.slice("item_words", F.col("s") + 1, F.col("size"))).alias("i", "term"))
-    met = wanted.join(lists, ["term", *keys]).where(F.exists("positions", lambda p: F.abs(p - F.col("start") - F.col("i")) <= slop))
-    whole = met.groupBy(*keys, "item_id", "start", "size", "s").agg(F.count_distinct("i").alias("n")).where(F.col("n") == F.col("size"))
-    return whole.select(*keys, "item_id", "start", "size").distinct()
-
-
-def phrases(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", width: int = WIDTH, slop: int = 0) -> DataFrame:
-    """(keys, item_id, start, size): where windows of the items occur in docs.
-
-    With ``slop`` 0 a match is the exact phrase. With more, it is proximity: every
-    other term of the window occurs at most ``slop`` places from where the phrase has it.
-    """
-    docs = docs.select(*keys, word_list(F.col(text)).alias("words"))
-    posted = postings(docs, keys, "words")
-    # Written, as counting and joining it would each read all documents again. It has a row for each item and anchor.
-    table = Scratch(docs.sparkSession, "anchors").put(anchors(posted.select("term", "pos", F.lit(1).alias("n")), windows(items, width=width)), "anchors")
-    near = look_up(posted, table, table.count())
-
-    def place(s: Column) -> Column:  # of the window's first word in the document
-        return F.col("pos") - F.col("at") + s
-
-    def same(s: Column) -> Column:
-        if not slop:
-            return F.slice("words", place(s) + 1, F.col("size")) == F.slice("item_words", s + 1, F.col("size"))
-        around = lambda i: F.slice("words", F.greatest(place(s) + i - slop, F.lit(0)) + 1, F.lit(2 * slop + 1) - F.greatest(slop - place(s) - i, F.lit(0)))
-        return F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.array_contains(around(i), F.get("item_words", s + i)))
-
-    inside = lambda s: (place(s) >= 0) & (F.lit(bool(slop)) | (place(s) + F.col("size") <= F.size("words")))
-    hits = F.filter("starts", lambda s: F.when(inside(s), same(s)).otherwise(F.lit(False)))
-    found = near.select(*keys, "item_id", "size", F.transform(hits, place).alias("hits"))
-    # The outer form again: else the optimizer tests hits inside the join, which then copies words for every posting.
-    return found.select(*keys, "item_id", F.explode_outer("hits").alias("start"), "size").where(F.col("start").isNotNull()).distinct()
-
-
-def covered(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_hit, items): words under any hit, and the sorted ids of the items."""
-    ends = hits.groupBy(*keys, "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
-    past = F.max("end").over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    words = ends.withColumn("past", F.coalesce(past, F.lit(0))).groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "past"))).alias("n_hit"))
-    items = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return words.join(items, keys)
+    posted = posted.withColumn("salt", F.pmod("n", F.lit(SALTS)).cast("int"))
+    return posted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"]).drop("salt")
+
+
+@dataclass(frozen=True)
+class Index:
+    """``documents`` (n, words and the columns kept) and ``postings`` (term, n, pos)."""
+
+    documents: DataFrame
+    postings: DataFrame
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"))
+
+
+def build_index(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = (), terms: DataFrame | None = None) -> Index:
+    """Store the index of docs, with the columns ``keep``; of all terms, or of those of ``terms`` (term) alone."""
+    spark = docs.sparkSession
+    docs.select(F.monotonically_increasing_id().alias("n"), *keep, word_list(F.col(text)).alias("words")).write.parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{path}/documents")
+    posted = documents.select("n", F.posexplode("words").alias("pos", "word")).select(F.xxhash64("word").alias("term"), "n", "pos")
+    if terms is not None:
+        posted = look_up(posted, terms)
+    posted.sortWithinPartitions("term", "n", "pos").write.parquet(f"{path}/postings")
+    return open_index(spark, path)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """``terms`` (window, size, i, term) of each distinct window, and ``items`` (window, item_id)."""
+
+    terms: DataFrame
+    items: DataFrame
+
+
+def windows(items: DataFrame, scratch: Scratch, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> Windows:
+    words = F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w))
+    rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words.alias("w")).where(F.size("w") > 0)
+    size = F.least(F.lit(width), F.size("w"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda s: F.slice("w", s, size))
+    found = scratch.put(rows.select("item_id", F.explode(cut).alias("w")).select("item_id", "w", F.xxhash64("w").alias("window")).distinct(), "windows")
+    terms = found.select("window", "w").distinct().select("window", F.size("w").alias("size"), F.posexplode("w").alias("i", "term"))
+    return Windows(scratch.put(terms, "terms"), found.select("window", "item_id"))
+
+
+def search(index: Index, wanted: Windows, scratch: Scratch, slop: int = 0) -> DataFrame:
+    """(n, window, start, size): where windows occur in the documents."""
+    distinct = scratch.put(wanted.terms.select("term").distinct(), "distinct")
+    often = scratch.put(look_up(index.postings.select("term", "n"), distinct).groupBy("term").agg(F.count(F.lit(1)).alias("often")), "often")
+    # Each window under its rarest term; one that lacks a term altogether is nowhere.
+    ranked = wanted.terms.join(often, "term", "left").groupBy("window", "size").agg(F.min(F.struct("often", "term", "i")).alias("rare"), F.count("often").alias("known"))
+    anchors = scratch.put(ranked.where(F.col("known") == F.col("size")).select(F.col("rare.term").alias("term"), "window", "size", F.col("rare.i").alias("at")), "anchors")
+    start = (F.col("pos") - F.col("at")).alias("start")
+    near = scratch.put(look_up(index.postings, anchors).select("n", "window", "size", start).where(F.col("start") >= 0), "near")
+    # The lists of the documents that have such a start, and what each start asks of them.
+    found = near.select("n").distinct()
+    found = F.broadcast(found) if near.count() <= BROADCAST_ROWS else found
+    lists = index.postings.join(found, "n", "left_semi")
+    asked = near.join(wanted.terms.select("window", "i", "term"), "window").withColumn("want", F.col("start") + F.col("i"))
+    if slop:
+        met = asked.join(lists, ["n", "term"]).where(F.abs(F.col("pos") - F.col("want")) <= slop)
+    else:
+        met = asked.join(lists.withColumnRenamed("pos", "want"), ["n", "term", "want"])
+    whole = met.groupBy("n", "window", "start", "size").agg(F.count_distinct("i").alias("met") if slop else F.count(F.lit(1)).alias("met"))
+    return whole.where(F.col("met") == F.col("size")).select("n", "window", "start", "size")
+
+
+def covered(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """(n, n_hit, items): words under any hit, and the sorted ids of the items."""
+    ends = hits.groupBy("n", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
+    past = F.max("end").over(Window.partitionBy("n").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    words = ends.withColumn("past", F.coalesce(past, F.lit(0))).groupBy("n").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "past"))).alias("n_hit"))
+    named = hits.select("n", "window").distinct().join(items, "window").groupBy("n").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return words.join(named, "n")
 
 
 def report(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and row_hash of its text."""
-    # A null id is a key of its own: a flag tells it from the value that stands for it.
-    one = F.coalesce(F.col(doc_id), F.lit("0").cast(docs.schema[doc_id].dataType))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), one.alias("id"), F.col(doc_id).isNull().alias("no_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_hash"), F.col(text).alias("text"))
-    keys = ["id", "no_id", "row_hash"]
-    hits = covered(phrases(keyed, items, keys, "text", width), keys)
-    sizes = keyed.select("doc_id", *keys, F.size(word_list(F.col("text"))).cast("long").alias("n_words"))
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    wanted = windows(items, scratch, width=width)
+    terms = scratch.put(wanted.terms.select("term").distinct(), "vocabulary")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_hash"), F.col(text).alias("text"))
+    index = build_index(rows, scratch.path("index"), keep=("doc_id", "row_hash"), terms=terms)
+    hits = covered(scratch.put(search(index, wanted, scratch), "hits"), wanted.items)
+    n_words = F.size("words").cast("long")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     found = F.coalesce("items", F.array().cast("array<string>"))
-    return sizes.join(hits, keys, "left").select(
+    return index.documents.select("n", "doc_id", "row_hash", n_words.alias("n_words")).join(hits, "n", "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
