@@ -3,18 +3,21 @@
 Training gives each language a smoothed distribution over hashed character
 n-grams. For a document, expectation-maximisation over those likelihoods
 estimates the proportion of each language, and languages leave the set while a
-penalised likelihood (a BIC-like penalty for each language) gets no worse. The
-prediction is the largest proportion of the set that stays.
+penalised likelihood (a BIC-like penalty for each language) gets no worse: half of the set
+at once while that holds, then a quarter and so on down to one, so the number of EM runs grows
+with the logarithm of the languages. The prediction is the largest proportion of the set
+that stays.
 
 Training reads a bounded, documented sample: about ``per_language`` texts of
-each language and at most ``max_languages`` languages, the most frequent ones.
-Which rows are in it depends on a hash of the id alone. Counting happens on
-the executors; the model is ``languages x BUCKETS`` float32.
+each language, of every language that occurs. Which rows are in it depends on a hash of
+the id alone. Counting happens on the executors; the model has ``MODEL`` float32 values at most:
+beyond so many languages times ``BUCKETS``, n-grams are hashed to fewer buckets.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0
-and no proportions; so is every text if nothing was learnt. Texts are processed whole.
-Repeated rows get equal results, other columns pass through, and a column of
-the input whose name clashes with an output is replaced.
+and no proportions; so is every text if nothing was learnt. Every non-null label is a language,
+also a blank one. Of languages that tie the first by name is taken. Texts are processed whole,
+however long. Repeated rows get equal results, an empty table gives an empty one, other columns
+pass through, and a column of the input whose name clashes with an output is replaced.
 """
 
 from __future__ import annotations
@@ -32,13 +35,23 @@ from .common import free_name, remainder
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
+#: Values of a model at most, languages times buckets.
+MODEL = 1 << 26
 _LETTER = regex.compile(r"\p{L}")
 _APART = regex.compile(r"[^\p{L}\p{M}]+")
-#: Above so many n-grams, a text is counted by bucket, so memory stays bounded.
-_DENSE = 4 * BUCKETS
+#: Above so many n-grams for each bucket, a text is counted by bucket, so memory stays bounded.
+_DENSE = 4
 
 
-def grams(text: str) -> np.ndarray:
+def buckets_for(languages: int) -> int:
+    """Buckets of a model of so many languages."""
+    n = BUCKETS
+    while n > 1 and n * languages > MODEL:
+        n >>= 1
+    return n
+
+
+def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of all character n-grams of the words of a text, with word boundaries."""
     code = np.frombuffer((" " + _APART.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     out, h = [], np.zeros(0, np.uint32)
@@ -49,16 +62,16 @@ def grams(text: str) -> np.ndarray:
         if n in ORDERS:
             x = h + np.uint32(n * 0x9E3779B9 % 2**32)
             x = (x ^ (x >> np.uint32(16))) * np.uint32(2246822507)
-            out.append((x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1))
+            out.append((x ^ (x >> np.uint32(13))) & np.uint32(buckets - 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def counted(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+def counted(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray | None]:
     """Buckets and how often each occurs (None: once each, a bucket may come again)."""
-    g = grams(text)
-    if len(g) < _DENSE:
+    g = grams(text, buckets)
+    if len(g) < _DENSE * buckets:
         return g, None
-    n = np.bincount(g, minlength=BUCKETS)
+    n = np.bincount(g, minlength=buckets)
     at = np.flatnonzero(n)
     return at, n[at].astype(np.float32)
 
@@ -83,13 +96,17 @@ def mixture(like: np.ndarray, weight: np.ndarray | None, penalty: float, steps:
     rows = np.arange(k)
     pi, best = em(rows, np.full(k, 1 / k, np.float32))
     cost = penalty * np.log(max(n, 2.0))
-    while len(rows) > 1:
-        keep = np.delete(np.arange(len(rows)), int(pi.argmin()))
+    many = len(rows) // 2
+    while many:
+        order = np.argsort(pi, kind="stable")
+        keep = np.sort(order[many:])
         start = np.maximum(pi[keep], 1e-4)
         fewer, fit = em(rows[keep], (start / start.sum()).astype(np.float32))
-        if fit + cost < best:
-            break
+        if fit + many * cost < best:
+            many //= 2
+            continue
         rows, pi, best = rows[keep], fewer, fit
+        many = min(many, len(rows) // 2)
     out = np.zeros(k, np.float64)
     out[rows] = pi / pi.sum()
     return out
@@ -106,18 +123,19 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, np.ndarray]:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0, np.zeros(len(self.languages))
-        at, weight = counted(text)
+        at, weight = counted(text, self.like.shape[1])
         pi = mixture(self.like[:, at], weight, self.penalty)
         top = int(pi.argmax())
         return self.languages[top], float(min(1.0, pi[top])), pi
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 800, max_languages: int = 256) -> Model:
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 800) -> Model:
     """Learn from rows where ``train`` holds and neither text nor lang is null."""
-    rows = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(lang)) > 0) & (F.col(lang) != "und"))
-    sizes = rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_languages).collect()  # max_languages rows
+    rows = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    sizes = rows.groupBy(F.col(lang).alias("l")).count().collect()  # a row for each label
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
+    buckets = buckets_for(len(sizes))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, per_language / r["count"]))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(draw < F.try_element_at(share, F.col(lang))).select(F.col(lang).alias("l"), F.col(text).alias("t"))
@@ -126,15 +144,15 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         seen: dict[str, np.ndarray] = {}
         for b in batches:
             for l, t in zip(b.column("l").to_pylist(), b.column("t").to_pylist(), strict=True):
-                seen.setdefault(l, np.zeros(BUCKETS, np.int64))
-                seen[l] += np.bincount(grams(t), minlength=BUCKETS)
+                seen.setdefault(l, np.zeros(buckets, np.int64))
+                seen[l] += np.bincount(grams(t, buckets), minlength=buckets)
         for l, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["l", "g", "n"])
 
-    learnt = sample.mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS rows at most
+    learnt = sample.mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()  # MODEL rows at most
     names = sorted(learnt["l"].unique())
-    counts = np.zeros((len(names), BUCKETS))
+    counts = np.zeros((len(names), buckets))
     np.add.at(counts, (learnt["l"].map({x: i for i, x in enumerate(names)}).to_numpy(int), learnt["g"].to_numpy(int)), learnt["n"].to_numpy(float))
     return Model(names, counts)
 
@@ -142,7 +160,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and ``proportions`` (map of the chosen languages)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS floats: bounded by max_languages
+    shared = spark.sparkContext.broadcast(model)  # MODEL floats at most
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "proportions")])
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType()))])
 
