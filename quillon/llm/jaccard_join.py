@@ -2,29 +2,35 @@
 
 1. Each text becomes the set of its word 5-grams, hashed to 64 bits, and a
    MinHash signature of bands; band and row counts are chosen for a target recall.
-2. Equal texts fall together by digest. One row of each stands for its copies.
-3. Representatives shuffle on their band hashes. In a band bucket everyone gets
-   one edge, to the bucket's least id: linear in the bucket, however large. The
-   components of these edges hold every pair that shares a band.
-4. Pairs inside a component are verified on the full n-gram sets. A component
-   is cut in blocks of ``BLOCK`` texts and a task takes two blocks, so a huge
-   group of near copies is spread over tasks. Pairs are counted where they are
-   found and never written out; what leaves is one row per text with its number of
-   links and one edge to the least text it is linked with there.
+2. Equal texts fall together by two 64-bit hashes. One row of each, a node, stands for its copies.
+3. Nodes shuffle on their band hashes. In a band bucket everyone gets one edge, to
+   the bucket's least node: linear in the bucket, however large. The components of
+   these edges hold every pair that shares a band.
+4. Pairs inside a component are verified on the full n-gram sets. A small component is one
+   task's group. A larger one is cut in blocks, and every pair of blocks is
+   a group: as many pairs as a shuffle has tasks, with at most ``BLOCK`` texts or some
+   ``BLOCK_BYTES`` bytes in a block. Pairs of blocks are dealt to the tasks in turn, so
+   a huge group of near copies is spread evenly. Pairs of texts are counted where they
+   are found and never written out; what leaves is one row per text with its number of links and one edge
+   to the least text it is linked with there.
 5. The classes are the components of those verified edges.
 
+The number of links is exact, so a group of n different texts that are all near takes n^2 / 2
+comparisons, and each text goes to n / BLOCK groups; copies of a text cost nothing.
+
 Words are runs of characters other than U+0020 and U+0009-U+000D, A-Z taken as
 a-z. A text of one to four words is one n-gram.
 
 Defined results: a null or empty text, or one of white space, has no n-grams
-and stands alone; a null id is returned with null class and no links; rows that
-share an id count as one document, linked as any of their texts is; exact
-copies are links of each other. Extra columns do not matter.
+and stands alone, its class its own id; null is an id like any other, and the class of documents
+that all have it is null; rows that share an id and a text count as one document, and
+those that share an id only are linked each by its text; exact copies are links of each
+other; a pair whose similarity ties with the threshold is linked; a very long text is one set,
+held whole by the tasks of its pairs; an empty table gives an empty one. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -38,7 +44,11 @@ from .common import Scratch, mix, text_chunks, words
 from .components import components
 
 WORDS = 5
-BLOCK = 256
+#: Texts of a block: at least, as long as the component has so many, and at most.
+LEAST_BLOCK = 64
+BLOCK = 1024
+#: Bytes of text in a block, on average at most.
+BLOCK_BYTES = 8 << 20
 #: MinHash values that a signature may take.
 HASHES = 256
 
@@ -95,18 +105,12 @@ def signatures(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
     return out
 
 
-def digest(text: str) -> tuple[int, int]:
-    raw = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
-
-
 def signed(docs: DataFrame, bands: int, rows: int, n: int = WORDS) -> DataFrame:
-    """(doc_id, d1, d2, bands) of docs (doc_id, text); bands is null where there are no words."""
+    """docs (doc_id, d1, d2, size, text) with bands for text; bands is null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
-            marks = [digest(t or "") for t in text.to_pylist()]
             sig = np.zeros((batch.num_rows, bands), np.uint64)
             some = np.zeros(batch.num_rows, bool)
             for lo, grams, first in shingle_chunks(text, n):
@@ -115,18 +119,18 @@ def signed(docs: DataFrame, bands: int, rows: int, n: int = WORDS) -> DataFrame:
                     sig[lo + has] = signatures(grams, np.r_[first[has], len(grams)], bands, rows)
                     some[lo + has] = True
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * bands, bands, dtype=np.int32)), pa.array(sig.view(np.int64).ravel()), mask=pa.array(~some))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), lists], ["doc_id", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "d1", "d2", "size")), lists], ["doc_id", "d1", "d2", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size int, bands array<long>")
 
 
 def verify(left: pd.DataFrame, threshold: tuple[int, int], n: int = WORDS) -> pd.DataFrame:
     """Links inside one pair of blocks: rows (node, links, root) of its texts.
 
-    ``left`` has node, d1, d2, text, copies, side (0, 1, or 2 for both: one block
-    with itself). Similarity is at least threshold[0] / threshold[1].
+    ``left`` has node, text, copies, side (0, 1, or 2 for both: one block with itself).
+    Similarity is at least threshold[0] / threshold[1].
     """
-    left = left[[digest(t) == (a, b) for t, a, b in zip(left["text"], left["d1"], left["d2"], strict=True)]].drop_duplicates(["node", "d1", "d2"]).sort_values(["node", "d1"]).reset_index(drop=True)
+    left = left.drop_duplicates("node").sort_values("node").reset_index(drop=True)
     sets = [np.zeros(0, np.uint64)] * len(left)
     for lo, grams, first in shingle_chunks(pa.array(left["text"], pa.large_string()), n):
         for i in range(len(first) - 1):
@@ -165,45 +169,76 @@ def verify(left: pd.DataFrame, threshold: tuple[int, int], n: int = WORDS) -> pd
     return pd.DataFrame({"node": node, "links": links, "root": root})
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: tuple[int, int] = (4, 5), recall: float = 0.999, n: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id (least id of its class) and n_links (documents at least so similar)."""
+def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: tuple[int, int] = (4, 5), recall: float = 0.999, n: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, d1, d2 (hashes of its text), class_id, n_links and ``chosen``.
+
+    class_id is the least id of its class, and n_links the number of documents at least so
+    similar. Of each class the rows of one document are chosen: the least id with the least node.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = keyed(docs, text, doc_id)
     bands, rows = choose_bands(threshold[0] / threshold[1], recall)
-    marked = scratch.put(signed(docs, bands, rows, n), "signatures")
-    known = marked.where(F.col("doc_id").isNotNull() & F.col("bands").isNotNull())
-    same = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies"))
-    texts = scratch.put(same, "texts")
-    # Band buckets of representatives; each bucket is a star around its least member.
-    banded = known.join(texts, ["d1", "d2"]).where(F.col("doc_id") == F.col("node")).select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("h"))
+    marked = scratch.put(signed(docs.withColumn("size", F.octet_length("text")), bands, rows, n), "signatures")
+    known = marked.where(F.col("bands").isNotNull())
+    # Null is an id, too: a text's rows without an id are one document.
+    same = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))).alias("copies"), F.max("size").alias("size"))
+    texts = scratch.put(same.withColumn("node", F.monotonically_increasing_id()), "texts")
+    # Band buckets of nodes; each bucket is a star around its least member.
+    banded = known.join(texts.drop("size"), ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("h"))
     hubs = banded.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where(F.col("hub") != F.col("far")).select("h", "hub")
     edges = banded.join(hubs, "h").where(F.col("node") != F.col("hub")).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     near = scratch.put(components(edges, scratch), "near")
-    # Blocks of components, and every pair of blocks.
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = near.join(sizes, "root").select("node", "root", blocks.alias("k"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("b"))
-    placed = placed.join(texts, "node")
+    near = near.join(texts, "node")
+    # Blocks of components, and every pair of blocks; enough pairs of a large component for all tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = F.least(F.lit(block), F.greatest(F.lit(min(block, LEAST_BLOCK)), F.ceil(F.col("many") / math.sqrt(2 * tasks))))
+    blocks = F.greatest(F.ceil(F.col("many") / most), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("bytes"))
+    placed = near.join(sizes, "root").select("root", blocks.alias("k"), F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1)).cast("long")).cast("int").alias("b"), "node", "first_id", "d1", "d2", "copies")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("b", o).alias("p"), F.greatest("b", o).alias("q")))
-    held = docs.join(placed, docs["doc_id"] == placed["node"]).select("root", "k", "b", "node", "d1", "d2", "copies", "text", F.explode(pairs).alias("pq"))
+    mine = docs["doc_id"].eqNullSafe(placed["first_id"]) & (docs["d1"] == placed["d1"]) & (docs["d2"] == placed["d2"])
+    held = docs.join(placed, mine).select("root", "k", "b", "node", "copies", "text", F.explode(pairs).alias("pq"))
     side = F.when(F.col("pq.p") == F.col("pq.q"), 2).when(F.col("b") == F.col("pq.p"), 0).otherwise(1)
-    held = held.select("root", "k", "pq.p", "pq.q", side.alias("side"), "node", "d1", "d2", "copies", "text")
+    # Pairs of blocks go round the tasks from where their component starts.
+    turn = F.col("pq.q").cast("long") * (F.col("pq.q") + 1) / 2 + F.col("pq.p")
+    slot = F.pmod(F.xxhash64("root") + turn.cast("long"), F.lit(tasks)).cast("int")
+    held = held.select(slot.alias("slot"), "root", "k", "pq.p", "pq.q", side.alias("side"), "node", "copies", "text")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = verify(pdf, threshold, n)
-        out["many"] = key[1] > 1
+        out["many"] = key[2] > 1
         return out
 
-    # As many tasks as the session has for a shuffle: Spark would join small partitions by size, but verifying is work.
-    held = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "k", "p", "q")
-    checked = scratch.put(held.groupBy("root", "k", "p", "q").applyInPandas(run, "node long, links long, root long, many boolean"), "checked")
+    groups = held.repartitionById(tasks, "slot").groupBy("slot", "root", "k", "p", "q")
+    checked = scratch.put(groups.applyInPandas(run, "node long, links long, root long, many boolean"), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("many").alias("many"))
     single = links.where(~F.col("many")).select("node", "root")
     crossing = components(checked.where("many").select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
-    links = links.select("node", "links").join(single.union(crossing), "node", "left")
-    # A node may stand for several texts of one id; copies of a text under other ids join its class.
-    classes = texts.join(links, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = links.select("node", "links").join(single.union(crossing), "node").join(texts.select("node", "first_id"), "node")
+    found = scratch.put(found, "found")
+    tops = found.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("top"))
+    linked = found.join(tops, "root").select("node", "links", "class_id", (F.col("top.node") == F.col("node")).alias("chosen"))
+    classes = texts.join(linked, "node", "left").select(
+        "d1", "d2", "first_id", F.when(F.col("links").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("chosen", F.lit(True)).alias("chosen")
+    )
     out = marked.select("doc_id", "d1", "d2", F.col("bands").isNotNull().alias("some")).join(classes, ["d1", "d2"], "left")
-    mine = F.col("some") & F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(mine, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(mine, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out.select(
+        "doc_id",
+        "d1",
+        "d2",
+        F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("some"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        (~F.col("some") | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("first_id")))).alias("chosen"),
+    )
+
+
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, d1, d2, text) of docs: what tells a document from another."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("d1"), F.xxhash64(F.lit(1), whole).alias("d2"), whole.alias("text"))
+
+
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least id of its class) and n_links (documents at least so similar)."""
+    return classify(docs, text, doc_id, **options).select("doc_id", "class_id", "n_links")
