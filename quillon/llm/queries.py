@@ -145,13 +145,24 @@ FROM dw LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
 
 
 _TOOL_CALLS_SQL = """
-WITH calls AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user'),
-results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL)
-SELECT conv_id, concat('call_', conv_id, '_', turn) AS call_id, turn, 'reply' AS tool, 0 AS level, content IS NOT NULL AS linked, text IS NOT NULL AS valid,
-       CASE WHEN text IS NULL THEN 'missing:prompt' ELSE '' END AS errors,
+WITH RECURSIVE calls AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+n AS (SELECT DISTINCT conv_id, turn FROM calls),
+lv(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0 FROM n WHERE turn < 2 OR NOT EXISTS (SELECT 1 FROM n p WHERE p.conv_id = n.conv_id AND p.turn = n.turn - 2)
+  UNION ALL SELECT n.conv_id, n.turn, lv.level + 1 FROM lv JOIN n ON n.conv_id = lv.conv_id AND n.turn = lv.turn + 2 WHERE n.turn >= 2),
+asked AS (SELECT c.conv_id, c.turn, c.text, r.conv_id IS NOT NULL AS linked, r.content, lv.level, c.turn >= 2 AND p.turn IS NULL AS missing
+  FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn LEFT JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn
+  LEFT JOIN n p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+SELECT conv_id, concat('call_', conv_id, '_', turn) AS call_id, turn, 'reply' AS tool, level, linked, text IS NOT NULL AND NOT missing AS valid,
+       concat_ws(',', CASE WHEN text IS NULL THEN 'missing:prompt' END, CASE WHEN missing THEN 'missing_dependency' END) AS errors,
        concat('{"arguments":{', CASE WHEN text IS NOT NULL THEN concat('"prompt":', to_json(text), ',') ELSE '' END, '"turn":', turn, '},"id":"call_', conv_id, '_', turn, '"',
               CASE WHEN content IS NOT NULL THEN concat(',"result":', to_json(content)) ELSE '' END, ',"tool":"reply"}') AS json
-FROM calls LEFT JOIN results USING (conv_id, turn)"""
+FROM asked
+UNION ALL
+SELECT conv_id, concat('call_', conv_id, '_', turn), turn + 1, NULL, NULL, FALSE, FALSE, 'unknown_call',
+       concat('{"id":"call_', conv_id, '_', turn, '"', CASE WHEN content IS NOT NULL THEN concat(',"result":', to_json(content)) ELSE '' END, '}')
+FROM results r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.conv_id = r.conv_id AND n.turn = r.turn)"""
 
 
 _JACCARD_SQL = r"""

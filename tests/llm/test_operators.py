@@ -286,6 +286,58 @@ def test_mixtures(spark, docs):
     assert model.predict("123 !?")[0] == "und" and model.predict(None)[:2] == ("und", 0.0)
 
 
+def test_mixtures_by_brute_force(docs, texts):
+    """Proportions and sets of languages by EM in plain loops over every set, and by leaving out one language at a time."""
+    import math
+
+    model = language_id.fit(docs, F.lit(True))
+    k, size = model.like.shape
+
+    def em(p, rows):
+        pi = {r: 1 / len(rows) for r in rows}
+        for _ in range(60):
+            new = dict.fromkeys(rows, 0.0)
+            for x in p:
+                mixed = sum(pi[r] * x[r] for r in rows)
+                for r in rows:
+                    new[r] += pi[r] * x[r] / mixed / len(p)
+            pi = new
+        return pi, sum(math.log(sum(pi[r] * x[r] for r in rows)) for x in p)
+
+    some = [t[:100] for _, t in sorted(texts.items())[:12] if t and len(t) > 100]
+    some += [a[:60] + " " + b[:60] for a, b in zip(some[:4], some[4:8], strict=True)]
+    same = 0
+    for t in some:
+        g = language_id.grams(t, size)
+        p = model.like[:, g].T.astype(float).tolist()
+        fits = {}
+        for mask in range(1, 1 << k):
+            rows = [r for r in range(k) if mask >> r & 1]
+            pi, fit = em(p, rows)
+            fits[mask] = (fit - model.penalty * math.log(len(g)) * len(rows), pi)
+        value, pi = max(fits.values(), key=lambda f: f[0])
+        lang, score, got = model.predict(t)
+        top = max(pi, key=pi.get)
+        mine = fits[sum(1 << int(r) for r in np.flatnonzero(got))]
+        same += lang == model.languages[top] and abs(score - pi[top]) < 0.05
+        assert mine[0] >= value - 3 and all(abs(got[r] - q) < 0.08 for r, q in mine[1].items())
+    assert same >= 0.9 * len(some)
+
+
+def test_many_languages(spark, monkeypatch):
+    """Every label is learnt, by few EM runs, and the model keeps its size."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(3)
+    own = {f"l{i:03d}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(12)] for i in range(300)}
+    rows = [(i * 300 + j, " ".join(rng.choice(ws) for _ in range(30)), l) for i in range(3) for j, (l, ws) in enumerate(own.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    assert model.languages == sorted(own) and all(model.predict(t)[0] == l for _, t, l in rows[:40])
+    monkeypatch.setattr(language_id, "MODEL", 300 * 4096)
+    small = language_id.fit(df, F.lit(True))
+    assert small.like.shape == (300, 4096) and sum(small.predict(t)[0] == l for _, t, l in rows[:40]) >= 38
+
+
 def test_language_edges(spark):
     got = {r["doc_id"]: r for r in language_id.identify(odd(spark)).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[1]["score"] == 0
@@ -324,10 +376,53 @@ def test_links(spark):
     assert got["b"]["errors"] == ["type:b"] and got["c"]["errors"] == ["unknown_tool", "missing_dependency"]
     assert got["x"]["errors"] == ["type:b", "unknown:extra", "cycle"] and got["x"]["level"] is None
     assert got["y"]["errors"] == ["invalid_json", "cycle"] and got["s"]["errors"] == ["invalid_json", "cycle"]
-    assert got["q"]["errors"] == ["invalid_json"] and not got["q"]["linked"]
+    assert got["nobody"]["errors"] == ["unknown_call"] and got["nobody"]["tool"] is None
     assert chat_tools.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
 
 
+def test_levels_are_depths(spark):
+    """A chain of three has three levels, whatever else the conversation holds; a long chain takes few rounds."""
+    chain = [(1, "c", 2, "t", '{"b":1}', ["b"]), (1, "b", 1, "t", '{"b":1}', ["a"]), (1, "a", 0, "t", '{"b":1}', [])]
+    back = [(1, "x", 3, "t", '{"b":1}', ["y"]), (1, "y", 4, "t", '{"b":1}', None)]
+    long = [(2, f"n{i}", i, "t", '{"b":1}', [f"n{i - 1}"] if i else []) for i in range(100)]
+    for calls in (chain, chain + back):
+        got = linked(spark, calls)
+        assert [got[x]["level"] for x in "abc"] == [0, 1, 2] and all(r["valid"] for r in got.values())
+    assert [linked(spark, long)[f"n{i}"]["level"] for i in (0, 1, 64, 99)] == [0, 1, 64, 99]
+    hung = linked(spark, [(1, "p", 0, "t", '{"b":1}', ["q"]), (1, "q", 1, "t", '{"b":1}', ["p"]), (1, "r", 2, "t", '{"b":1}', ["q"])])
+    assert all(r["level"] is None and r["errors"] == ["cycle"] for r in hung.values())
+
+
+def test_results_of_no_call(spark):
+    got = chat_tools.link(spark.createDataFrame([(1, "a", 0, "t", '{"b":1}', [])], CALLS), spark.createDataFrame([(1, "z", 4, "b"), (1, "z", 3, 'q"'), (None, "a", 1, "n"), (1, "a", 1, "r")], RESULTS), SCHEMAS).collect()
+    alone = sorted(((r["conv_id"] or 0, r["call_id"], r["turn"], r["linked"], r["errors"], r["json"]) for r in got if r["tool"] is None))
+    assert len(got) == 3 and alone == [(0, "a", 1, False, ["unknown_call"], '{"id":"a","result":"n"}'), (1, "z", 3, False, ["unknown_call"], '{"id":"z","result":"q\\""}')]
+
+
+def test_canonical_json(spark):
+    cases = {
+        '{"b":1.0, "a":1e2}': '{"a":100,"b":1}',
+        '{"x":[1, 1.50, -0.0, 1E-3, 12345678901234567890, 1.0e7, 2.5e-9, 1e30, 0.1]}': '{"x":[1,1.5,0,0.001,12345678901234567890,10000000,2.5e-9,1e+30,0.1]}',
+        '{"s":"1.0 and \\"2e5\\" 3.0", "n": null, "t": true}': '{"n":null,"s":"1.0 and \\"2e5\\" 3.0","t":true}',
+        "{}": "{}",
+        "{bad": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string").select("a", chat_tools.canonical(F.col("a")).alias("c"))
+    assert {r["a"]: r["c"] for r in df.collect()} == cases
+
+
+def test_odd_calls(spark):
+    """Repeated calls and very long texts, clashing columns, and empty tables."""
+    long = json.dumps({"b": 1, "a": {"x": "y" * 2_000_000}})
+    calls = spark.createDataFrame([(1, "a", 0, "t", long, None)] * 3 + [(1, "a", 5, "t", '{"b":2}', None)], CALLS)
+    results = spark.createDataFrame([(1, "a", 1, "z" * 2_000_000)], RESULTS)
+    clash = {c: F.lit("clash") for c in ("level", "missing", "result", "canonical", "linked", "errors", "json", "needs")}
+    got = chat_tools.link(calls.withColumns(clash), results.withColumns(clash), SCHEMAS).collect()
+    assert sorted(r["turn"] for r in got) == [0, 5] and all(r["linked"] and r["level"] == 0 for r in got)
+    assert json.loads(max((r["json"] for r in got), key=len))["arguments"] == json.loads(long)
+    assert chat_tools.link(calls.limit(0), results, SCHEMAS).count() == 1 and chat_tools.link(calls, results.limit(0), SCHEMAS).where("linked").count() == 0
+
+
 def test_order_by_brute_force(spark):
     rng = random.Random(3)
     calls, needs = [], {}
@@ -340,9 +435,7 @@ def test_order_by_brute_force(spark):
     got = linked(spark, calls)
     for (c, name), ds in needs.items():
         me = got[f"{c}-{name}"]
-        for d in ds:
-            other = got[f"{c}-{d}"]
-            assert (other["level"], other["turn"]) < (me["level"], me["turn"])
+        assert me["level"] == max((got[f"{c}-{d}"]["level"] + 1 for d in ds), default=0)
 
 
 # --- 4: near duplicates ----------------------------------------------------------------
@@ -693,9 +786,9 @@ def tuples(df):
     return sorted(tuple(r)[:6] for r in df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_random_passages(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
     rng = random.Random(4)
     word = lambda: rng.choice(["the", "of", "The", "and"]) if rng.random() < 0.7 else f"x{rng.randrange(30)}é"
     items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 12, 13, 14, 30])))) for k in range(25)] + [(25, ""), (26, None), (27, "..."), (3, "the of"), (28, None)]
@@ -729,25 +822,53 @@ def test_passages_without_an_id(spark):
     assert sorted(got, key=key) == sorted(contamination(texts, [(9, item)]), key=key)
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a quick very brown fox"), (2, "quick brown fox"), (3, "fox and then so far brown quick")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
-    ids = lambda slop: sorted({r["doc_id"] for r in decontamination.phrases(d, b, ["doc_id"], slop=slop).collect()})
-    assert ids(0) == [2] and ids(1) == [1, 2]
-
-
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_stored_index(spark, tmp_path, docs, sf_dir, monkeypatch, broadcast):
-    """Searching a stored index and going over the documents find the same."""
-    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", broadcast)
-    keyed = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, "the the of"), (-2, None)], "item_id long, text string"))
-    decontamination.build_index(keyed, ["doc_id"], str(tmp_path / "index"), buckets=4)
-    index = spark.read.parquet(str(tmp_path / "index"))
-    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "item_id", "start", "size").collect())
-    for width, slop in ((13, 0), (4, 0), (4, 2)):
-        assert rows(decontamination.search(index, items, ["doc_id"], width, slop)) == rows(decontamination.phrases(keyed, items, ["doc_id"], width=width, slop=slop))
-    assert rows(decontamination.search(index, items, ["doc_id"]))
+def searched(spark, path, d, b, width=13, slop=0):
+    """(doc_id, item_id, start, size) from a stored index of all terms."""
+    from quillon.llm.common import Scratch
+
+    scratch = Scratch(spark, "t")
+    decontamination.build_index(d, path, keep=("doc_id",))
+    index, wanted = decontamination.open_index(spark, path), decontamination.windows(b, scratch, width=width)
+    hits = decontamination.search(index, wanted, scratch, slop).join(wanted.items, "window").join(index.documents, "n")
+    return sorted(tuple(r) for r in hits.select("doc_id", "item_id", "start", "size").collect())
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity(spark, tmp_path, slop):
+    """Places of windows, exact or near, against a search of every place."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(40))) for i in range(12)] + [(20, "a quick very brown fox"), (21, "quick brown fox"), (22, "fox brown quick")]
+    items = [(1, "quick brown fox"), (2, "a b c"), (3, "d a d"), (4, "g f e d c")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = searched(spark, str(tmp_path / "i"), d, b, 4, slop)
+    often = collections.Counter(w for _, t in docs for w in t.split())
+    ids = lambda k: {r[0] for r in got if r[1] == k}
+    assert ids(1) == ({21}, {20, 21}, {20, 21, 22})[slop]
+    if not slop:
+        want = [(i, k, s, len(v)) for i, t in docs for k, x in items for v in {tuple(x.split()[o : o + 4]) for o in range(max(1, len(x.split()) - 3))} for s in range(len(t.split())) if tuple(t.split()[s : s + len(v)]) == v]
+        assert got == sorted(want)
+        return
+    for i, k, s, size in got:  # every term near its place, and the rarest there
+        w = dict(docs)[i].split()
+        x = dict(items)[k].split()
+        fits = [v for o in range(max(1, len(x) - 3)) if len(v := x[o : o + 4]) == size and all(any(w[p : p + 1] == [y] for p in range(max(0, s + j - slop), s + j + slop + 1)) for j, y in enumerate(v))]
+        assert fits and any(w[s + j : s + j + 1] == [y] for v in fits for j, y in enumerate(v) if often[y] == min(often[z] for z in v))
+
+
+def test_long_documents_and_no_broadcast(spark, monkeypatch):
+    """Without a broadcast a long document's words are shuffled a few numbers each, never with its text."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(10_000))) for i in range(3)]
+    items = [(9, " ".join(texts[1][1].split()[700:740])), (8, " ".join(f"w{k}" for k in range(20)))]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    df = decontamination.report(d, b)
+    assert tuples(df) == sorted(contamination(texts, items))
+    # What is joined by term has numbers alone.
+    from quillon.llm.common import Scratch
+
+    wanted = decontamination.windows(b, Scratch(spark, "t"))
+    assert [t for _, t in wanted.terms.dtypes] == ["bigint", "int", "int", "bigint"]
 
 
 # --- 8: shards ---------------------------------------------------------------------------------
