@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, jaccard_join, language_id, packing, quality_rules
-from quillon.llm.common import Scratch, small_batches, table
+from quillon.llm.common import Scratch, free_name, small_batches, table
 from quillon.llm.queries import vocabulary
 
 #: Below this share of its leading language a document is too mixed to keep.
@@ -31,11 +31,18 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each class; documents without an id stay."""
+    """Keeps one document of each class, that of the least id.
+
+    Documents are told by id and text, so rows that share an id, or have none, are judged each by
+    its text; repeated rows are one document. A text without a word is in no class and stays.
+    """
     small_batches(spark)
-    first = jaccard_join.join(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    names = [free_name(docs.columns, x) for x in ("id", "first", "second")]
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    told = docs.withColumns({names[1]: F.xxhash64(whole), names[2]: F.xxhash64(F.lit(1), whole)})
+    kept = jaccard_join.classify(docs).where("chosen").select(F.col("doc_id").alias(names[0]), F.col("d1").alias(names[1]), F.col("d2").alias(names[2])).distinct()
+    kept = told.join(kept, told["doc_id"].eqNullSafe(kept[names[0]]) & (told[names[1]] == kept[names[1]]) & (told[names[2]] == kept[names[2]]), "left_semi")
+    return kept.dropDuplicates(["doc_id", *names[1:]]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
