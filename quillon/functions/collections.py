@@ -61,15 +61,11 @@ def flatten(xs: Column) -> Column:
 
 def map_of(pairs: Column) -> Column:
     """A map of pairs (_1, _2); of equal keys the last pair counts, whatever the session's policy."""
-    return let(
-        pairs,
-        lambda p: F.map_from_entries(
-            F.transform(
-                F.filter(F.transform(p, lambda x, i: F.struct(x["_1"].alias("k"), x["_2"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(p, x["i"] + 2, F.size(p)), lambda y: y["_1"] == x["k"])),
-                lambda x: F.struct(x["k"], x["v"]),
-            )
-        ),
-    )
+    def last(p: Column) -> Column:
+        order = F.array_sort(F.transform(p, lambda x, i: F.struct(x["_1"].alias("k"), i.alias("i"))))
+        return let(order, lambda o: F.transform(F.filter(o, lambda x, i: ~F.get(o, i + 1)["k"].eqNullSafe(x["k"])), lambda x: F.struct(x["k"], F.get(p, x["i"])["_2"])))
+
+    return let(pairs, lambda p: F.map_from_entries(last(p)))
 
 
 def merge_maps(*ms: Column) -> Column:

@@ -16,30 +16,17 @@ def split(s: Column, sep: str) -> Column:
     return F.split(s, "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
 
 
-def pack_bytes(s: str, most: int) -> list[str]:
-    """Greedy chunks of at most so many bytes that cut no character."""
-    if most < 4:
-        raise ValueError("chunks are of 4 bytes at least")
-    raw, out, at = s.encode("utf-8"), [], 0
-    while at < len(raw):
-        end = min(at + most, len(raw))
-        while end < len(raw) and raw[end] & 0xC0 == 0x80:
-            end -= 1
-        out.append(raw[at:end].decode("utf-8"))
-        at = end
-    return out
-
-
 def chunk(s: Column, most: int) -> Column:
-    """Chunks of at most ``most`` bytes. Greedy packing has no built-in, so this runs on Arrow batches."""
+    """Chunks of at most ``most`` bytes, each as long as it can be without cutting a character.
+
+    Bytes stand as Latin-1 characters for the pattern: as many as fit, then back to where no
+    continuation byte follows.
+    """
     if most < 4:
         raise ValueError("chunks are of 4 bytes at least")
-
-    @F.pandas_udf("array<string>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else pack_bytes(v, most))
-
-    return run(s)
+    raw = F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
+    parts = F.regexp_extract_all(raw, F.lit(f"(?s).{{1,{most}}}(?![\\x80-\\xBF])"), F.lit(0))
+    return F.transform(parts, lambda x: F.decode(F.encode(x, "ISO-8859-1"), "UTF-8"))
 
 
 def join(xs: Column, sep: str) -> Column:
@@ -67,9 +54,12 @@ def from_float(x: Column, digits: int) -> Column:
 
     @F.pandas_udf("string")
     def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda f: None if f is None else format(f, f".{digits}g"))
+        return v.map(lambda f: format(f, f".{digits}g"))
 
-    return run(x.cast("double"))
+    value = x.cast("double")
+    # Arrow's batches have NaN for null, so only numbers go there.
+    odd = F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("+Inf")).when(value == float("-inf"), F.lit("-Inf"))
+    return F.when(value.isNotNull(), F.coalesce(odd, run(value)))
 
 
 def to_float(s: Column) -> Column:

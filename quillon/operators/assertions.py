@@ -66,13 +66,19 @@ def stale(cached: DataFrame, current: DataFrame, policy: Policy = Policy.EXACT)
     return cached.join(now, KEY, "left").where(~F.col("value").eqNullSafe(F.col("now")))
 
 
-def propagate(outputs: DataFrame, lineage: DataFrame, inputs: DataFrame) -> DataFrame:
+def propagate(outputs: DataFrame, lineage: DataFrame, inputs: DataFrame, strict: bool = True) -> DataFrame:
     """(digest, subject, namespace, property, value): facts of outputs and of all that they come from.
 
     outputs: (digest, facts' columns). lineage: (digest, input). inputs: (input, facts' columns).
+    Two values of one fact below one digest raise, unless not ``strict``.
     """
     inherited = lineage.join(inputs, "input").select("digest", *KEY, "value")
-    return outputs.select("digest", *KEY, "value").unionByName(inherited).distinct()
+    found = outputs.select("digest", *KEY, "value").unionByName(inherited).distinct()
+    if strict:
+        bad = found.groupBy("digest", *KEY).agg(F.min("value").alias("a"), F.max("value").alias("b")).where(F.col("a") != F.col("b")).limit(1).collect()
+        if bad:
+            raise EngineError(Kind.PRECONDITION, f"{bad[0]['digest']} inherits {bad[0]['subject']} {bad[0]['namespace']} {bad[0]['property']} as {bad[0]['a']} and as {bad[0]['b']}")
+    return found
 
 
 def refresh(facts: DataFrame, known: DataFrame, generate) -> DataFrame:

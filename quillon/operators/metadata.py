@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import dirs
+
 TIMES = "start timestamp, keepalive timestamp, end timestamp"
 RUNS = f"id string, user string, labels map<string,string>, bundle string, args array<string>, exec_log string, sys_log string, eval_graph string, trace string, {TIMES}"
 TASKS = f"id string, run_id string, alloc_id string, flow_id string, result_id string, img_cmd_id string, ident string, attempt int, err string, resources map<string,double>, uri string, stdout string, stderr string, inspect string, {TIMES}"
@@ -129,7 +131,7 @@ def list_runs(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     total, kind = sum_cost("cost", "cost_kind")
     per = tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(F.col("err").isNotNull()).alias("n_failed"), total.alias("cost"), kind.alias("cost_kind"))
     out = runs.join(per, runs["id"] == per["run_id"], "left").drop("run_id")
-    return out.withColumns({"n_tasks": F.coalesce("n_tasks", F.lit(0)), "cost": F.coalesce("cost", F.lit(0.0)), "cost_kind": F.coalesce("cost_kind", F.lit("unknown"))}).orderBy("start", "id")
+    return out.withColumns({"n_tasks": F.coalesce("n_tasks", F.lit(0)), "n_failed": F.coalesce("n_failed", F.lit(0)), "cost": F.coalesce("cost", F.lit(0.0)), "cost_kind": F.coalesce("cost_kind", F.lit("unknown"))}).orderBy("start", "id")
 
 
 def summary(steps: DataFrame, metrics: tuple[str, ...] = ("runtime", "cpu", "mem", "disk", "tmp")) -> DataFrame:
@@ -150,14 +152,31 @@ def over_allocated(summary: DataFrame, requested: str = "requested_mem", used: s
     return summary.where((F.col(used) / F.col(requested) <= OVER_SHARE) & (F.col(requested) > LEAST_MEM))
 
 
-def nearest_rank(p: float, column: str) -> Column:
-    """The value at rank ceil(n p / 100); p 0 is the least. Values that are null or no number are left out."""
+def rank_of(n: Column, p: float) -> Column:
+    """The rank, from 1, of a percentile among n values: ceil(n p / 100), and 1 for p 0."""
     if not 0 <= p <= 100:
         raise ValueError("a percentile is from 0 to 100")
-    x = F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
-    if p == 0:
-        return F.min(x)
-    return F.expr(f"percentile_disc({p / 100!r}) WITHIN GROUP (ORDER BY CASE WHEN NOT isnan(CAST(`{column}` AS DOUBLE)) THEN `{column}` END)")
+    return F.greatest(F.lit(1), F.least(n, F.ceil(n.cast("double") * F.lit(float(p)) / F.lit(100.0)))).cast("long")
+
+
+def nearest_rank(values: Column, p: float) -> Column:
+    """The percentile of a list of values that is bounded, null for an empty one."""
+    ordered = F.array_sort(values)
+    return F.get(ordered, (rank_of(F.size(values), p) - 1).cast("int"))
+
+
+def percentiles(df: DataFrame, by: str, column: str, ps: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ps): percentiles of the values of groups of any size. Null and NaN are no values.
+
+    Rows get their places in one order by group and value, which is dealt by range; a value's rank is its
+    place less that of its group's first, so no group is gathered in one task.
+    """
+    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(by).alias("g"), F.col(column).alias("x"))
+    placed = dirs.number(rows, "g", "x")
+    groups = placed.groupBy("g").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    wanted = groups.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (F.col("first") + rank_of(F.col("n"), p) - 1).alias("pos")) for k, p in ps.items()])).alias("w")).select("g", "w.name", "w.pos")
+    found = wanted.join(placed.select("pos", "x"), "pos")
+    return found.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in ps])
 
 
 def newest(df: DataFrame, n: int, *by: str) -> DataFrame:
@@ -189,7 +208,7 @@ class Predictor:
         enough = tasks.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_data).select(by)
         used = newest(tasks.join(enough, by, "left_semi").where(F.col("mem").isNotNull()), self.max_inspect, by)
         used = used.withColumn("mem", F.when(F.col("mem").between(0, MOST_MEM), F.col("mem")))
-        found = used.groupBy(by).agg(nearest_rank(self.mem_percentile, "mem").alias("mem"), F.max("seconds").alias("longest"), F.count("seconds").alias("timed"), F.count("mem").alias("n"))
+        found = used.groupBy(by).agg(nearest_rank(F.collect_list("mem"), self.mem_percentile).cast("double").alias("mem"), F.max("seconds").alias("longest"), F.count("seconds").alias("timed"), F.count("mem").alias("n"))
         seconds = F.when(F.col("timed") >= self.min_data, F.col("longest")).otherwise(F.lit(0.0))
         return found.where(F.col("n") >= self.min_data).select(by, "mem", seconds.alias("seconds"), "n")
 

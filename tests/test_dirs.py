@@ -182,6 +182,8 @@ def test_assertions(spark):
     out = a.limit(0).withColumn("digest", F.lit("d"))
     lineage = spark.createDataFrame([("d", "i")], "digest string, input string")
     assert assertions.propagate(out, lineage, a.withColumn("input", F.lit("i"))).count() == 2
+    with pytest.raises(EngineError, match="d inherits s1 blob etag"):
+        assertions.propagate(a.where("subject = 's1'").withColumn("digest", F.lit("d")), lineage, facts(spark, ("s1", "etag", "z")).withColumn("input", F.lit("i")))
     fresh = assertions.refresh(facts(spark, ("s1", "etag", "x"), ("s7", "etag", "x")), a, lambda m: facts(spark, *[(r["subject"], "etag", "gen") for r in m.collect()]))
     assert fresh.count() == 2
     blob = spark.createDataFrame([("s", "e", None, 3)], "source string, etag string, last_modified timestamp, size long")
@@ -235,9 +237,18 @@ def test_costs(spark):
 @pytest.mark.parametrize("p,want", [(0, 1), (25, 2), (50, 4), (95, 7), (100, 7), (14, 1), (15, 2)])
 def test_nearest_rank(spark, p, want):
     rows = spark.createDataFrame([(float(x),) for x in (5, 3, 7, 1, 2, 6, 4)] + [(float("nan"),), (None,)], "x double")
-    assert rows.agg(metadata.nearest_rank(p, "x")).first()[0] == want
+    rows = rows.withColumn("g", F.lit("g"))
+    assert metadata.percentiles(rows, "g", "x", {"q": p}).collect() == [("g", want)]
+    assert rows.where("not isnan(x)").agg(metadata.nearest_rank(F.collect_list("x"), p)).first()[0] == want
     with pytest.raises(ValueError):
-        metadata.nearest_rank(101, "x")
+        metadata.percentiles(rows, "g", "x", {"q": 101}).collect()
+
+
+def test_every_percent(spark):
+    for n in (50, 100):
+        rows = spark.range(1, n + 1).select(F.lit("g").alias("g"), F.col("id").alias("x"))
+        got = metadata.percentiles(rows, "g", "x", {str(p): p for p in range(1, 101)}).first()
+        assert all(got[str(p)] == -(-n * p // 100) for p in range(1, 101))
 
 
 def test_prediction(spark):

@@ -1,10 +1,9 @@
 """Scalar semantics, with the traps of Spark's own operators."""
 
 import math
+import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,12 +143,22 @@ def test_chunks(value):
         strings.chunk(L("x"), 3)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(), st.integers(4, 20))
-def test_chunk_bytes(text, most):
-    text = text.encode("utf-8", "ignore").decode()
-    parts = strings.pack_bytes(text, most)
-    assert "".join(parts) == text and all(0 < len(p.encode()) <= most for p in parts)
+def packed(text, most):
+    out = [""]
+    for c in text:
+        if len((out[-1] + c).encode()) > most:
+            out.append("")
+        out[-1] += c
+    return out if text else []
+
+
+@pytest.mark.parametrize("most", [4, 7, 20])
+def test_chunk_bytes(spark, most):
+    rng = random.Random(most)
+    texts = ["", *["".join(rng.choice("ab \n\x00é€\x80日\U0001f600") for _ in range(rng.randrange(60))) for _ in range(200)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strings.chunk(F.col("t"), most).alias("c"))
+    for r in df.collect():
+        assert r["c"] == packed(r["t"], most)
 
 
 @pytest.mark.parametrize("x,digits,out", [(0.0, 1, "0"), (1.12121212, 2, "1.1"), (3e10, 20, "30000000000"), (1e21, 3, "1e+21"), (0.00001, 3, "1e-05")])
@@ -157,6 +166,16 @@ def test_from_float(value, x, digits, out):
     assert value(strings.from_float(L(x), digits)) == out
 
 
+def test_odd_floats(value):
+    inf = F.lit(float("inf"))
+    assert [value(strings.from_float(x, 3)) for x in (F.lit(None).cast("double"), inf, -inf, F.lit(float("nan")))] == [None, "+Inf", "-Inf", "NaN"]
+
+
+def test_last_pair_of_a_key_counts(value):
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i % 3).alias("_1"), F.create_map(F.lit("v"), i).alias("_2")))
+    assert value(collections.map_of(pairs)) == {0: {"v": 9}, 1: {"v": 7}, 2: {"v": 8}}
+
+
 def test_to_float(value):
     assert [value(strings.to_float(L(x))) for x in ("0", "3e10", ".2", "-12.2", "0.5e-8", "1.")] == [0.0, 3e10, 0.2, -12.2, 0.5e-8, 1.0]
     raises(value, strings.to_float(L("")), "no digits")
