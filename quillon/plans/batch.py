@@ -2,8 +2,8 @@
 
 ``fold`` puts the parameter table into one plan, for programs whose parameters are only
 columns. ``run`` evaluates runs one by one on a bounded number of threads, for those
-that build their plan from parameters; states are kept in a table, so a batch goes on
-where it stopped.
+that build their plan from parameters; each change of a run's state is written to a table when it
+happens, so a batch whose driver is lost goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def fold(runs: DataFrame, body: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return body(runs)
 
 
+def states(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, id, phase, error, tries) of all runs, as they now are."""
+    log = spark.read.schema(STATES).parquet(path)
+    last = log.groupBy("batch", "id").agg(F.max_by(F.struct("phase", "error", "tries"), F.struct("time", "tries", F.col("phase") != "running")).alias("x"))
+    return last.select("batch", "id", "x.*")
+
+
 @dataclass
 class Batch:
     spark: SparkSession
@@ -46,9 +54,7 @@ class Batch:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return {}
-        log = self.spark.read.schema(STATES).parquet(self.path).where(F.col("batch") == batch)
-        last = log.groupBy("id").agg(F.max_by(F.struct("phase", "tries"), "time").alias("x"))
-        return {r["id"]: (r["x"]["phase"], r["x"]["tries"]) for r in last.collect()}  # one row a run
+        return {r["id"]: (r["phase"], r["tries"]) for r in states(self.spark, self.path).where(F.col("batch") == batch).collect()}  # one row a run
 
     def run(self, runs: DataFrame, name: str = "batch", retry: bool = False) -> DataFrame:
         """(id, phase, error, tries) of all runs; done ones are left alone, failed ones with ``retry`` start anew."""
@@ -56,13 +62,22 @@ class Batch:
         batch = batch_id(self.program, name, rows)
         before = self._states(batch)
 
+        lock = Lock()
+
+        def state(*values) -> tuple:
+            row = (batch, *values, datetime.now(UTC).replace(tzinfo=None))
+            with lock:
+                self.spark.createDataFrame([row], STATES).coalesce(1).write.mode("append").parquet(self.path)
+            return row
+
         def one(row: dict) -> tuple:
             phase, tries = before.get(row["id"], ("init", 0))
             if phase == "done" or phase == "failed" and not retry:
-                return (batch, row["id"], phase, None, tries, datetime.now(UTC).replace(tzinfo=None))
+                return (batch, row["id"], phase, None, tries, None)
             error = None
             for n in range(self.retries + 1):
                 tries += 1
+                state(row["id"], "running", None, tries)
                 try:
                     self.evaluate(row)
                     error, phase = None, "done"
@@ -71,10 +86,8 @@ class Batch:
                     error, phase = str(e), "failed"
                     if not restartable(e) or n == self.retries:
                         break
-            return (batch, row["id"], phase, error, tries, datetime.now(UTC).replace(tzinfo=None))
+            return state(row["id"], phase, error, tries)
 
         with ThreadPoolExecutor(self.parallelism) as pool:
             states = list(pool.map(one, rows))
-        out = self.spark.createDataFrame(states, STATES)
-        out.write.mode("append").parquet(self.path)
-        return out.select("id", "phase", "error", "tries")
+        return self.spark.createDataFrame(states, STATES).select("id", "phase", "error", "tries")

@@ -27,7 +27,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; a local one only where the cluster names none, as in tests."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError(Kind.INVALID, "spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
+    p = spark._jvm.org.apache.hadoop.fs.Path(base)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    base = f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
     return f"{base}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -2,11 +2,15 @@
 
 Objects are Parquet rows (digest, content) partitioned by the first byte of the
 digest, so a lookup of known digests reads few partitions. The index is an append-only
-Parquet table; of one (kind, key) the row of the latest time counts.
+Parquet log; of one (kind, key) the row of the latest time counts. Both are cleaned up file
+by file: what stays of some files is written again as new ones and only then are the old ones deleted. A
+crash between leaves rows twice, which readers take once, and files written meanwhile are not touched.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _remove(spark: SparkSession, files: list[str]) -> None:
+    for f in files:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+
+
 class Repository:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.url = spark, path
@@ -43,30 +53,36 @@ class Repository:
 
     def stat(self, digests: DataFrame) -> DataFrame:
         """(digest, size) of those of ``digests`` that are stored."""
-        return digests.join(self._all().select("digest", "size"), "digest")
+        return digests.join(self._all().select("digest", "size").distinct(), "digest")
 
     def read(self, digests: DataFrame) -> DataFrame:
         """digests with content, null where there is none."""
-        return digests.join(self._all().select("digest", "content"), "digest", "left")
+        held = self._all().select("digest", "content").join(digests.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+        return digests.join(held, "digest", "left")
 
     def write_to(self, other: Repository, digests: DataFrame) -> None:
         """Copy objects to another repository."""
         other.put(self.read(digests).where(F.col("content").isNotNull()).select("content"))
 
-    def collect(self, live: DataFrame) -> int:
-        """Keep only live digests; how many objects went. Parts are rewritten beside the old ones and then take their place."""
-        keep = self._all().join(live.select("digest").distinct(), "digest", "left_semi")
-        before, after = self._all().count(), keep.count()
-        if before != after:
-            fresh = self.url.rstrip("/") + ".fresh"
-            keep.write.mode("overwrite").partitionBy("part").parquet(fresh)
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            a, b = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(self.url)
-            fs = a.getFileSystem(conf)
-            fs.delete(b, True)
-            fs.rename(a, b)
+    def collect(self, live: DataFrame, older_than: float = 0.0) -> int:
+        """Delete objects that are not live and whose file has so many seconds; how many went.
+
+        Only files that hold such an object are touched.
+        """
+        live = live.select("digest").distinct()
+        rows = self._all().withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_modification_time")}) if _exists(self.spark, self.url) else None
+        if rows is None:
+            return 0
+        old = F.lit(True) if older_than <= 0 else F.col("at") < F.lit(datetime.now(UTC) - timedelta(seconds=older_than))
+        dead = rows.where(old).select("digest", "file").join(live, "digest", "left_anti")
+        n = dead.select("digest").distinct().count()
+        files = [r["file"] for r in dead.select("file").distinct().collect()]  # as for their deletion
+        if files:
+            kept = self.spark.read.schema(OBJECTS).option("basePath", self.url).parquet(*files).join(live, "digest", "left_semi")
+            kept.select("digest", "size", "content", "part").write.mode("append").partitionBy("part").parquet(self.url)
+            _remove(self.spark, files)
             self.spark.catalog.refreshByPath(self.url)
-        return before - after
+        return n
 
 
 class Index:
@@ -74,6 +90,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.url = spark, path
+        self._last = datetime.min
 
     def _log(self) -> DataFrame:
         if not _exists(self.spark, self.url):
@@ -81,27 +98,48 @@ class Index:
         return self.spark.read.schema(INDEX).parquet(self.url)
 
     def put(self, rows: DataFrame) -> None:
-        """rows: (kind, key, value) and perhaps labels."""
+        """rows: (kind, key, value) and perhaps labels. Each write of an index object is later than the one before."""
         if "labels" not in rows.columns:
             rows = rows.withColumn("labels", F.lit(None).cast("map<string,string>"))
-        rows.select("kind", "key", "value", "labels", F.current_timestamp().alias("time")).write.mode("append").parquet(self.url)
+        self._last = max(datetime.now(UTC).replace(tzinfo=None), self._last + timedelta(microseconds=1) if self._last > datetime.min else self._last)
+        at = F.timestamp_micros(F.lit(int(self._last.replace(tzinfo=UTC).timestamp()) * 1_000_000 + self._last.microsecond))
+        rows.select("kind", "key", "value", "labels", at.alias("time")).write.mode("append").parquet(self.url)
 
     def delete(self, keys: DataFrame) -> None:
         self.put(keys.select("kind", "key", F.lit(None).cast("string").alias("value")))
 
+    @staticmethod
+    def _latest(log: DataFrame) -> DataFrame:
+        # Writers that meet in one microsecond: the greater value counts, and a deletion before any.
+        order = F.struct("time", F.col("value").isNull().alias("gone"), "value")
+        last = log.groupBy("kind", "key").agg(F.max_by(F.struct("value", "labels", "time"), order).alias("x"))
+        return last.select("kind", "key", "x.value", "x.labels", "x.time")
+
     def scan(self, kind: str | None = None) -> DataFrame:
         """(kind, key, value, labels, time) as they now are."""
         log = self._log() if kind is None else self._log().where(F.col("kind") == kind)
-        last = log.groupBy("kind", "key").agg(F.max_by(F.struct("value", "labels"), "time").alias("x"), F.max("time").alias("time"))
-        return last.select("kind", "key", F.col("x.value").alias("value"), F.col("x.labels").alias("labels"), "time").where(F.col("value").isNotNull())
+        return self._latest(log).where(F.col("value").isNotNull())
 
     def get(self, kind: str, key: str) -> str | None:
-        found = self.scan(kind).where(F.col("key") == key).collect()
+        found = self._latest(self._log().where((F.col("kind") == kind) & (F.col("key") == key))).collect()
         return found[0]["value"] if found else None
 
     def batch_get(self, wanted: DataFrame) -> DataFrame:
-        """wanted (kind, key) with value, null where there is none: one join."""
-        return wanted.join(self.scan().select("kind", "key", "value"), ["kind", "key"], "left")
+        """wanted (kind, key) with value and labels, null where there is none: the log's rows of these keys, and one join."""
+        keys = wanted.select("kind", "key").distinct()
+        mine = self._latest(self._log().join(keys, ["kind", "key"], "left_semi")).where(F.col("value").isNotNull())
+        return wanted.join(mine.select("kind", "key", "value", "labels"), ["kind", "key"], "left")
+
+    def compact(self) -> int:
+        """Write the log's files again with the row that counts of each key; how many files there were."""
+        if not _exists(self.spark, self.url):
+            return 0
+        files = [r["f"] for r in self._log().select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
+        if len(files) > 1:
+            self._latest(self.spark.read.schema(INDEX).parquet(*files)).write.mode("append").parquet(self.url)
+            _remove(self.spark, files)
+            self.spark.catalog.refreshByPath(self.url)
+        return len(files)
 
 
 def sweep(index: DataFrame, live: DataFrame, dead: DataFrame | None = None, before=None) -> DataFrame:

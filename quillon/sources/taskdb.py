@@ -1,8 +1,10 @@
 """Writing run metadata: an append-only log for each kind of row.
 
-Every call appends one row with the fields that it sets, so writers never meet. Reading
-takes, for each id and field, the value that was set last; the keepalive partition
-is the day of the latest sign of life, and both bounds of a time query prune it.
+Every call makes one row with the fields that it sets, so writers never meet. Rows are
+appended in batches: signs of life wait until ``batch`` rows are there, or a call that
+sets anything else, or a reader. Reading takes, for each id and field, the value that was set last.
+The log is partitioned by the day of writing, so rows alive after a time are sought in that
+day's partitions and later ones.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ def _now() -> datetime:
 
 
 class TaskDB:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.url = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, batch: int = 256):
+        self.spark, self.url, self.batch = spark, path.rstrip("/"), batch
+        self._waiting: dict[str, list[dict]] = {}
 
     def _schema(self, kind: str) -> T.StructType:
         return T._parse_datatype_string(SCHEMAS[kind])
@@ -37,8 +40,19 @@ class TaskDB:
             raise EngineError(Kind.INVALID, f"{kind} has no field {sorted(unknown)[0]}")
         at = _now()
         row = {f.name: fields.get(f.name) for f in schema.fields} | {"id": id_, "_at": at, "_day": at.date()}
-        full = T.StructType([*schema.fields, T.StructField("_at", T.TimestampType()), T.StructField("_day", T.DateType())])
-        self.spark.createDataFrame([row], full).coalesce(1).write.mode("append").partitionBy("_day").parquet(f"{self.url}/{kind}")
+        waiting = self._waiting.setdefault(kind, [])
+        waiting.append(row)
+        if set(fields) != {"keepalive"} or len(waiting) >= self.batch:
+            self.flush(kind)
+
+    def _log_schema(self, kind: str) -> T.StructType:
+        return T.StructType([*self._schema(kind).fields, T.StructField("_at", T.TimestampType()), T.StructField("_day", T.DateType())])
+
+    def flush(self, kind: str | None = None) -> None:
+        """Append the rows that wait, in one file a day."""
+        for k in [kind] if kind else list(self._waiting):
+            if rows := self._waiting.pop(k, []):
+                self.spark.createDataFrame(rows, self._log_schema(k)).coalesce(1).write.mode("append").partitionBy("_day").parquet(f"{self.url}/{k}")
 
     def _create(self, kind: str, id_: str, start: datetime | None, **fields: object) -> None:
         start = start or _now()
@@ -80,13 +94,19 @@ class TaskDB:
     def set_end(self, kind: str, id_: str, end: datetime | None = None) -> None:
         self._write(kind, id_, end=end or _now())
 
-    def table(self, kind: str) -> DataFrame:
-        """Rows as they now are: of each field the value set last, of keepalive the latest."""
+    def table(self, kind: str, since: datetime | None = None) -> DataFrame:
+        """Rows as they now are: of each field the value set last, of keepalive the latest.
+
+        With ``since`` only rows that were written to on its day or later, which are all that may be alive after it.
+        """
+        self.flush(kind)
         schema = self._schema(kind)
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.url}/{kind}")
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], schema)
-        log = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_at", T.TimestampType()), T.StructField("_day", T.DateType())])).parquet(f"{self.url}/{kind}")
+        log = self.spark.read.schema(self._log_schema(kind)).parquet(f"{self.url}/{kind}")
+        if since is not None:
+            log = log.join(log.where(F.col("_day") >= F.lit(since.date())).select("id").distinct(), "id", "left_semi")
         last = [F.max_by(f.name, F.when(F.col(f.name).isNotNull(), F.col("_at"))).alias(f.name) for f in schema.fields if f.name not in ("id", "keepalive")]
         return log.groupBy("id").agg(*last, F.max("keepalive").alias("keepalive")).select(schema.fieldNames())

@@ -208,7 +208,8 @@ def test_canonicalize_repair_collect(spark, tmp_path):
     runs = []
     a, b = graph(spark, runs), graph(spark, runs)
     both = Node("union", lambda x, y: x.union(y), (a, b))
-    assert memo.canonicalize(both).inputs[0] is memo.canonicalize(both).inputs[1]
+    same = memo.canonicalize(both)
+    assert same.inputs[0] is same.inputs[1] and both.inputs == (a, b)
     e = Evaluator(spark, str(tmp_path / "c"))
     assert e.evaluate(both).count() == 2 and runs == ["source", "keep", "total"]
     assert "digraph" in memo.to_dot(both)
