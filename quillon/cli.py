@@ -9,6 +9,13 @@
     python -m quillon.cli pred wanted.parquet tasks.parquet
     python -m quillon.cli collect cache_dir live.parquet [label filter]
     python -m quillon.cli images tasks.parquet
+    python -m quillon.cli list table.parquet
+    python -m quillon.cli logs tasks.parquet id [stderr]
+    python -m quillon.cli listbatch|batchinfo state_dir
+    python -m quillon.cli genbatch program.py table.parquet out_dir
+    python -m quillon.cli repair cache_dir program.py -name value ...
+    python -m quillon.cli rmcache cache_dir pattern
+    python -m quillon.cli bundle out.zip file.py ...
     python -m quillon.cli version
 
 A program is a Python file with one subclass of ``Module``; its ``Main`` gives the result.
@@ -22,6 +29,8 @@ import json
 import sys
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from . import __version__
 from .errors import EngineError, Kind
 from .plans.modules import Module, ParamError
@@ -134,11 +143,69 @@ def collect(cache: str, live: str, labels: str = "") -> None:
     gone.unpersist()
 
 
+def list_(table: str) -> None:
+    """Rows of a table by id, without their nested columns."""
+    df = session().read.parquet(table)
+    show(df.select([f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]).orderBy("id"))
+
+
+def logs(tasks: str, id_: str, stream: str = "stdout") -> None:
+    from .operators.metadata import logs as places
+
+    show(places(session().read.parquet(tasks), id_, stream))
+
+
+def listbatch(state: str) -> None:
+    """Runs of every batch, as they now are."""
+    from .plans.batch import states
+
+    show(states(session(), state).orderBy("batch", "id"))
+
+
+def batchinfo(state: str) -> None:
+    """How many runs of each batch are in which phase."""
+    from .plans.batch import states
+
+    show(states(session(), state).groupBy("batch", "phase").count().orderBy("batch", "phase"))
+
+
+def genbatch(path: str, table: str, out: str) -> None:
+    """A run list of the columns of a table that are parameters of a program; its column ``id`` names the runs."""
+    from .sources.io import write_batch
+
+    df = session().read.parquet(table)
+    write_batch(df.select("id", *[n for n in load(path).params() if n in df.columns]), out)
+
+
+def repair(cache: str, path: str, *flags: str) -> None:
+    """Write the physical keys again that a program's graph lacks; its ``Graph`` gives the graph."""
+    from .plans.memo import Evaluator
+
+    print(Evaluator(session(), cache).repair(load(path).from_flags(list(flags)).Graph()))
+
+
+def rmcache(cache: str, pattern: str) -> None:
+    """Delete index entries whose key matches; they are listed."""
+    from .sources.store import Index
+
+    index = Index(session(), f"{cache}/index")
+    gone = index.scan().where(F.col("key").rlike(pattern)).select("kind", "key", "value").persist()
+    show(gone)
+    index.delete(gone)
+    gone.unpersist()
+
+
+def bundle(target: str, *files: str) -> None:
+    from .plans.modules import bundle as pack
+
+    print(pack(target, *files))
+
+
 def version() -> None:
     print(__version__)
 
 
-COMMANDS: dict[str, Callable[..., None]] = {f.__name__: f for f in (run, runbatch, check, doc, ps, info, cat, sync, pred, images, collect, version)}
+COMMANDS: dict[str, Callable[..., None]] = {f.__name__.rstrip("_"): f for f in (run, runbatch, check, doc, ps, info, cat, sync, pred, images, collect, list_, logs, listbatch, batchinfo, genbatch, repair, rmcache, bundle, version)}
 
 
 def main(argv: list[str]) -> int:

@@ -47,3 +47,40 @@ def test_runbatch_and_tables(spark, program, tmp_path, capsys):
     assert cli.main(["info", "r", str(tmp_path / "runs")]) == 0 and cli.main(["cat", str(tmp_path / "runs")]) == 0
     assert "r1" in capsys.readouterr().out
     assert cli.main(["sync", str(tmp_path / "runs"), f"file://{tmp_path}/copy"]) == 0 and (tmp_path / "copy").exists()
+    assert cli.main(["listbatch", str(tmp_path / "state")]) == 0 and cli.main(["batchinfo", str(tmp_path / "state")]) == 0
+    assert '"phase":"failed","count":1' in capsys.readouterr().out
+    assert cli.main(["list", str(tmp_path / "runs")]) == 0 and "2024-01-01" in capsys.readouterr().out
+    spark.createDataFrame([("r1", "you", 3, "x")], "id string, who string, times int, other string").write.parquet(str(tmp_path / "t"))
+    assert cli.main(["genbatch", program, str(tmp_path / "t"), str(tmp_path / "gen")]) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "gen")).first().asDict() == {"id": "r1", "who": "you", "times": "3"}
+    spark.createDataFrame([("t1", "i", "place")], "id string, ident string, stdout string").write.parquet(str(tmp_path / "logs"))
+    assert cli.main(["logs", str(tmp_path / "logs"), "t"]) == 0 and "place" in capsys.readouterr().out
+    assert cli.main(["bundle", str(tmp_path / "b.zip"), program]) == 0 and (tmp_path / "b.zip").exists()
+
+
+GRAPH = '''
+from quillon.plans.memo import Node
+from quillon.plans.modules import Module
+
+class Numbers(Module):
+    """A graph."""
+    n: int
+
+    def Graph(self):
+        from pyspark.sql import SparkSession
+        source = Node("source", lambda: SparkSession.active().range(self.n), params=[self.n])
+        return Node("twice", lambda d: d.selectExpr("id * 2 as id"), (source,), ident="twice")
+'''
+
+
+def test_repair_and_rmcache(spark, tmp_path, capsys):
+    from quillon.plans.memo import Evaluator
+
+    (tmp_path / "g.py").write_text(GRAPH)
+    cache, graph = str(tmp_path / "c"), cli.load(str(tmp_path / "g.py")).make(n=3).Graph()
+    assert Evaluator(spark, cache).evaluate(graph).count() == 3
+    physical = [k for k in (r["key"] for r in Evaluator(spark, cache).index.scan().collect()) if k not in {n.digest() for n in graph.walk()}]
+    assert len(physical) == 1 and cli.main(["rmcache", cache, f"^{physical[0]}$"]) == 0
+    capsys.readouterr()
+    for want in ("1", "0"):
+        assert cli.main(["repair", cache, str(tmp_path / "g.py"), "-n", "3"]) == 0 and capsys.readouterr().out.strip() == want
