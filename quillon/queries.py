@@ -381,10 +381,16 @@ def len_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", collections.length(F.col("text"), T.StringType()).alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c(doc_id, part, rest, n) AS (
+  SELECT doc_id, '', text, 0 FROM documents
+  UNION ALL SELECT doc_id, substr(rest, 1, k), substr(rest, k + 1), n + 1
+  FROM (SELECT *, list_max(list_filter(range(16, 65), lambda k: strlen(substr(rest, 1, k)) <= 64)) AS k FROM c WHERE rest <> ''))
+SELECT doc_id, CAST(max(n) AS INTEGER) AS n, CAST(coalesce(max(CASE WHEN n > 0 THEN strlen(part) END), 0) AS INTEGER) AS most, sha256(string_agg(CASE WHEN n > 0 THEN sha256(part) ELSE '' END, '' ORDER BY n)) AS id FROM c GROUP BY doc_id"""
+)
 def string_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", strings.chunk(F.col("text"), 64).alias("c"))
-    return rows.select("doc_id", F.size("c").alias("n"), F.array_max(F.transform("c", lambda x: F.octet_length(x))).alias("most"), F.sha2(F.array_join("c", "").cast("binary"), 256).alias("id"))
+    return rows.select("doc_id", F.size("c").alias("n"), F.coalesce(F.array_max(F.transform("c", lambda x: F.octet_length(x))), F.lit(0)).alias("most"), F.sha2(F.array_join(F.transform("c", lambda x: F.sha2(x.cast("binary"), 256)), "").cast("binary"), 256).alias("id"))
 
 
 @query("SELECT page_id, string_split(url, '.') AS parts, string_split(url, '.')[1] AS head FROM pages")
@@ -609,12 +615,15 @@ def over_allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.over_allocated(s).select("ident", F.floor("m").cast("long").alias("mean"))
 
 
+# With those at which a fraction of hundredths is not exact.
+_PERCENTS = (0, 7, 14, 25, 28, 50, 55, 56, 95, 100)
 _RANK = "list_sort(list(value))[CAST(greatest(ceil(count(*) * {p} / 100.0), 1) AS BIGINT)]"
 
 
-@query("SELECT event_type AS ident, " + ", ".join(f"{_RANK.format(p=p)} AS p{p}" for p in (0, 25, 50, 95, 100)) + " FROM events GROUP BY 1")
+@query("SELECT event_type AS ident, " + ", ".join(f"{_RANK.format(p=p)} AS p{p}" for p in _PERCENTS) + " FROM events GROUP BY 1")
 def pct_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("ident")).agg(*[metadata.nearest_rank(p, "value").alias(f"p{p}") for p in (0, 25, 50, 95, 100)])
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("ident"), "value")
+    return metadata.percentiles(rows, "ident", "value", {f"p{p}": p for p in _PERCENTS})
 
 
 _TASKS = """t AS (SELECT concat('t', event_id) AS id, concat('r', user_id) AS run_id, event_type AS ident, CASE WHEN event_type = 'error' THEN 'failed' END AS err, value AS seconds, CAST(round(value * 100) AS BIGINT) AS cents,
@@ -670,7 +679,7 @@ def tasks_with_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_TASKS}, r AS (SELECT concat('r', c_custkey) AS id, c_name AS user FROM customer),
 p AS (SELECT run_id, count(*) AS n_tasks, CAST(sum(CASE WHEN err IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(cents) AS BIGINT) AS cents FROM k GROUP BY 1)
-SELECT id, "user", coalesce(n_tasks, 0) AS n_tasks, n_failed, coalesce(cents, 0) AS cents, CASE WHEN n_tasks IS NULL THEN 'unknown' ELSE 'exact' END AS cost_kind FROM r LEFT JOIN p ON id = run_id"""
+SELECT id, "user", coalesce(n_tasks, 0) AS n_tasks, coalesce(n_failed, 0) AS n_failed, coalesce(cents, 0) AS cents, CASE WHEN n_tasks IS NULL THEN 'unknown' ELSE 'exact' END AS cost_kind FROM r LEFT JOIN p ON id = run_id"""
 )
 def list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("id"), F.col("c_name").alias("user"), F.lit(None).cast("timestamp").alias("start"))
@@ -755,7 +764,7 @@ def assertions_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     own = table(spark, sf_dir, "orders").select(text("o_orderkey").alias("digest"), F.lit("o").alias("subject"), F.lit("n").alias("namespace"), F.lit("status").alias("property"), F.col("o_orderstatus").alias("value"))
     lineage = table(spark, sf_dir, "lineitem").select(text("l_orderkey").alias("digest"), text("l_partkey").alias("input"))
-    parts = table(spark, sf_dir, "part").select(text("p_partkey").alias("input"), F.lit("p").alias("subject"), F.lit("n").alias("namespace"), F.lit("part").alias("property"), text("p_partkey").alias("value"))
+    parts = table(spark, sf_dir, "part").select(text("p_partkey").alias("input"), text("p_partkey").alias("subject"), F.lit("n").alias("namespace"), F.lit("part").alias("property"), text("p_partkey").alias("value"))
     return assertions.propagate(own, lineage, parts).select("digest", "property", "value")
 
 
@@ -817,3 +826,7 @@ def ext_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def ext_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.count(F.lit(1)).alias("n"))
+
+
+# These register their queries beside the ones above.
+from . import queries_language, queries_sources  # noqa: E402, F401
