@@ -3,8 +3,9 @@
 ``build_index`` stores two tables: the documents with their words, numbered, and
 the postings (term, document number, position) of the training tokens, each segment
 sorted by term. ``search`` looks a benchmark window up from its rarest term: the
-postings of that term give aligned starts (position minus the term's offset in the window), and
-the other terms' postings, shifted by their offsets, are intersected at those starts. Windows with a term that no
+postings of that term give aligned starts (position minus the term's offset in the window). They are
+intersected with the postings of the next rarest term, shifted by its offset, and what is left with those
+of all the others. Windows with a term that no
 document has are dropped before. With ``slop`` 0 a match is the exact phrase. With
 more, it is proximity: every other term occurs at most ``slop`` places from where the phrase has it.
 
@@ -100,12 +101,22 @@ def search(index: Index, wanted: Windows, scratch: Scratch, slop: int = 0) -> Da
     """(n, window, start, size): where windows occur in the documents."""
     distinct = scratch.put(wanted.terms.select("term").distinct(), "distinct")
     often = scratch.put(look_up(index.postings.select("term", "n"), distinct).groupBy("term").agg(F.count(F.lit(1)).alias("often")), "often")
-    # Each window under its rarest term; one that lacks a term altogether is nowhere.
-    ranked = wanted.terms.join(often, "term", "left").groupBy("window", "size").agg(F.min(F.struct("often", "term", "i")).alias("rare"), F.count("often").alias("known"))
-    anchors = scratch.put(ranked.where(F.col("known") == F.col("size")).select(F.col("rare.term").alias("term"), "window", "size", F.col("rare.i").alias("at")), "anchors")
+    # Each window under its rarest term, with the next rarest; one that lacks a term altogether is nowhere.
+    order = F.array_sort(F.collect_list(F.struct("often", "term", "i")))  # of a window's terms, at most its width
+    ranked = wanted.terms.join(often, "term", "left").groupBy("window", "size").agg(order.alias("r"), F.count("often").alias("known"))
+    ranked = ranked.where(F.col("known") == F.col("size")).select("window", "size", F.col("r")[0].alias("a"), F.get("r", F.lit(1)).alias("b"))
+    anchors = scratch.put(ranked.select(F.col("a.term").alias("term"), "window", "size", F.col("a.i").alias("at"), F.col("b.term").alias("then"), F.col("b.i").alias("then_at")), "anchors")
     start = (F.col("pos") - F.col("at")).alias("start")
-    near = scratch.put(look_up(index.postings, anchors).select("n", "window", "size", start).where(F.col("start") >= 0), "near")
-    # The lists of the documents that have such a start, and what each start asks of them.
+    near = look_up(index.postings, anchors).select("n", "window", "size", start, "then", (start + F.col("then_at")).alias("then_pos")).where(F.col("start") >= 0)
+    near = scratch.put(near, "near")
+    # The list of the next rarest term leaves few of these starts.
+    second = look_up(index.postings, anchors.where("then is not null").select(F.col("then").alias("term")).distinct()).select("n", F.col("term").alias("then"), "pos")
+    if slop:
+        both = near.join(second, ["n", "then"]).where(F.abs(F.col("pos") - F.col("then_pos")) <= slop).select("n", "window", "size", "start").distinct()
+    else:
+        both = near.join(second.withColumnRenamed("pos", "then_pos"), ["n", "then", "then_pos"]).select("n", "window", "size", "start")
+    near = scratch.put(both.unionByName(near.where("then is null").select("n", "window", "size", "start")), "starts")
+    # The lists of the documents that still have one, and what each start asks of them.
     found = near.select("n").distinct()
     found = F.broadcast(found) if near.count() <= BROADCAST_ROWS else found
     lists = index.postings.join(found, "n", "left_semi")
