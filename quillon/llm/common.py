@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named}/quillon-{app}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application, when no result that reads them is needed any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(spark, shared_folder(spark))
 
 
 class Scratch:
@@ -56,13 +62,33 @@ class Scratch:
 
     ``put`` writes one and reads it back. ``drop`` removes one that a later
     one has replaced. Tables that a lazy result may still read stay until
-    ``clear_scratch``.
+    ``clear_scratch``, or until whoever has written that result calls
+    ``drop_since`` with the ``mark`` from before.
     """
 
+    _made: ClassVar[threading.local] = threading.local()  # another thread's query is not this one's
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self._bases().append(self.base)
+
+    @classmethod
+    def _bases(cls) -> list[str]:
+        return cls._made.__dict__.setdefault("bases", [])
+
+    @classmethod
+    def mark(cls) -> int:
+        """A place in the order in which folders of scratch tables were made."""
+        return len(cls._bases())
+
+    @classmethod
+    def drop_since(cls, spark: SparkSession, mark: int) -> None:
+        """Delete the folders made since; nothing may read them any more."""
+        for base in cls._bases()[mark:]:
+            _delete(spark, base)
+        del cls._bases()[mark:]
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -78,9 +104,7 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
 
 
 def remainder(col: Column, n: int) -> Column:

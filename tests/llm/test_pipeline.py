@@ -51,3 +51,28 @@ def test_odd_rows(spark, sf_dir):
         assert stage(spark, df.limit(0), sf_dir).count() == 0
     near = corpus_pipeline.drop_near_duplicates(spark, df, sf_dir)
     assert sorted(r["doc_id"] or 0 for r in near.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_rows_of_one_id_or_none(spark):
+    """Documents are told by id and text: a unique text stays whatever its id, and of copies one stays."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(5, text(1)), (5, text(2)), (5, text(2)), (6, text(1) + " end"), (None, text(3)), (None, text(3)), (None, text(4)), (7, text(4)), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "d1", "first", "chosen", "class_id")})
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(5, text(1)), (5, text(2)), (0, text(3)), (7, text(4)), (8, "")])
+
+
+def test_run_on_odd_tables(spark, tmp_path, sf_dir):
+    """All stages over odd rows, and over empty tables."""
+    docs = table(spark, sf_dir, "documents")
+    extra = odd(spark).select(docs.columns)
+    item = docs.where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(1).select(F.lit(1).alias("item_id"), F.substring("text", 1, 400).alias("text"))
+    for name, rows in (("odd", docs.unionByName(extra)), ("empty", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        item.where(F.lit(name == "odd")).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert len({r["sequence_id"] for r in got}) == len(got) > 0 and all(len(r["ids"]) == r["length"] for r in got)
+    hit = docs.orderBy(F.desc("n_chars"), "doc_id").where("lang = 'en'").first()["doc_id"]
+    assert hit not in {r["doc_id"] for r in got}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
