@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, in
 their columns; the last returns packed pieces. Between stages docs are written
 as Parquet and read back, so no stage recomputes an earlier one.
+
+Defined results, in every stage: an empty table gives an empty one; a null or empty text
+has no language and goes in the first stage, and by itself it fails the rules of the second; a very
+long text is judged and packed whole; null ids are ids like any other; repeated rows fare alike but in
+the third stage, which keeps one of them; ties go as the operators' docstrings say; other
+columns, whatever their names, stay as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -74,7 +80,12 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        mark = Scratch.mark()
+        kept = scratch.put(stage(spark, docs, sf_dir), name)
+        # What the stage wrote for itself, and what it read, nobody reads any more.
+        Scratch.drop_since(spark, mark)
+        scratch.drop(before)
+        docs = before = kept
     return docs
