@@ -147,6 +147,14 @@ def exec_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT n_nationkey, concat(lower(n_name), ' ', n_regionkey, chr(10)) AS line, sha256(concat(n_name, n_name)) AS twice FROM nation")
+def exec_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command for each row, with holes for a number, a text, a file's path and the paths of what it makes."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("name"), F.col("n_name").cast("binary").alias("body"))
+    out = flow.exec_rows(rows, "echo {{name}} {{n_regionkey}} > {{line}}; cat {{body}} {{body}} > {{twice}}", {"line": "string", "twice": "binary"}, resources={"cpu": 1, "mem": 1 << 30})
+    return out.select("n_nationkey", "line", F.sha2("twice", 256).alias("twice"))
+
+
 # --- modules, flags and errors --------------------------------------------------------
 
 

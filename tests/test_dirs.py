@@ -311,3 +311,16 @@ def test_retry_and_errors():
         return error
 
     assert restartable(chain(Kind.EVAL, Kind.NET)) and not restartable(chain(Kind.FATAL, Kind.NET)) and not restartable(chain(Kind.EVAL, Kind.OTHER)) and len(Kind) == 18
+
+
+def test_exec_rows(spark):
+    from quillon.operators import flow
+
+    df = spark.createDataFrame([(1, "it's; echo $HOME", b"\x00\xff"), (2, None, None)], "n int, s string, b binary")
+    got = flow.exec_rows(df, "printf '%s|%s' {{s}} {{n}} > {{t}}; cat {{b}} > {{c}}", {"t": "string", "c": "binary"}).collect()
+    assert [(r["t"], bytes(r["c"])) for r in got] == [("it's; echo $HOME|1", b"\x00\xff"), ("|2", b"")]
+    with pytest.raises(EngineError):
+        flow.exec_rows(df, "echo {{nobody}}", {})
+    with pytest.raises(Exception, match="exit 3"):
+        flow.exec_rows(df, "exit 3", {}).collect()
+    assert flow.profile(spark, {"cpu": 2}) is None
