@@ -360,10 +360,12 @@ def shifts_and_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'inf' ELSE 'finite' END AS kind, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'inf' ELSE 'finite' END AS kind, count(*) AS n, CAST(sum(CASE WHEN l_discount <> 0 THEN CAST(round(l_extendedprice / l_discount * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS hundredths FROM lineitem GROUP BY l_orderkey, l_linenumber, kind")
 def float_div(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = arith.float_div(F.col("l_extendedprice"), F.col("l_discount"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", F.when(q == float("inf"), "inf").otherwise("finite").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    finite = F.when(q < float("inf"), F.round(q * 100).cast("long")).otherwise(F.lit(0))
+    kinds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", F.when(q == float("inf"), "inf").otherwise("finite").alias("kind"))
+    return kinds.agg(F.count(F.lit(1)).alias("n"), F.sum(finite).cast("long").alias("hundredths"))
 
 
 @query("SELECT c_custkey, c_nationkey > 0 AND 100 // greatest(c_nationkey, 1) > 10 AS a, c_nationkey = 0 OR 100 // greatest(c_nationkey, 1) > 10 AS o, NOT (c_acctbal < 0) AS n FROM customer")
