@@ -10,8 +10,8 @@ readers see either version whole, and of two writers one must retry. Replaced
 shards stay until ``vacuum``.
 
 All of it is DataFrame functions on rows and on manifests. A tier's ripe shards are read by
-one scan, in which Spark packs whole files into tasks of the target size, and each
-task writes one file: no row is shuffled, and a plan has one scan for each tier, at most 64. The
+one scan, whose parts are put together, without a shuffle, into as many tasks as the tier's bytes
+make files of the target size, and each task writes one file; a plan has one scan for each tier, at most 64. The
 driver holds tier totals and the paths of one compaction, at most ``MOST_FILES``, or of
 one read, one for each file of some 128 MB; ripe shards above that wait for the next
 round, which callers repeat until nothing is ripe. On an object store without an atomic
@@ -40,9 +40,8 @@ MOST_FILES = 50_000
 #: Rows of a shard of an arrival, at most.
 SHARD_ROWS = 50_000
 
-#: How a scan packs whole files into tasks, and a union keeps its parts: by default a
-#: union of parts of one partition each has one partition itself.
-_PACKING = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0", "spark.sql.unionOutputPartitioning": "false"}
+#: By default a union of parts of one partition each has one partition itself.
+_UNION = "spark.sql.unionOutputPartitioning"
 MANIFEST = "path string, rows long, bytes long"
 
 
@@ -132,25 +131,23 @@ class Table:
     def compact(self, target: int = TARGET, fanout: int = FANOUT) -> int | None:
         """Merge ripe shards, at most ``MOST_FILES``, into files of about ``target`` bytes; the new version, or None if nothing is ripe."""
         version = (self.versions() or [0])[-1]
-        tiers: dict[int, list[str]] = {}
+        tiers: dict[int, list[tuple[str, int]]] = {}
         for r in self.plan(target, fanout, version).orderBy("tier", "path").limit(MOST_FILES).collect():
-            tiers.setdefault(r["tier"], []).append(r["path"])
-        tiers = {t: paths for t, paths in tiers.items() if len(paths) > 1}
-        if not tiers:
+            tiers.setdefault(r["tier"], []).append((r["path"], r["bytes"]))
+        # Shards are below three quarters of the target, so from four on there are fewer files than shards.
+        merged = [(paths, -(-sum(sizes) // target)) for paths, sizes in (zip(*t, strict=True) for t in tiers.values()) if len(paths) > -(-sum(sizes) // target)]
+        if not merged:
             return None
-        schema = self.spark.read.parquet(next(iter(tiers.values()))[0]).schema
-        scans = [self.spark.read.schema(schema).parquet(*paths) for paths in tiers.values()]
+        schema = self.spark.read.parquet(merged[0][0][0]).schema
+        scans = [self.spark.read.schema(schema).parquet(*paths).coalesce(files) for paths, files in merged]
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        wanted = _PACKING | {"spark.sql.files.maxPartitionBytes": str(target)}
-        known = {k: self.spark.conf.get(k, None) for k in wanted}
-        for k, v in wanted.items():
-            self.spark.conf.set(k, v)
+        known = self.spark.conf.get(_UNION, "true")
+        self.spark.conf.set(_UNION, "false")
         try:
             reduce(DataFrame.unionByName, scans).write.parquet(folder)
         finally:
-            for k, v in known.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        gone = self.spark.createDataFrame([(p,) for paths in tiers.values() for p in paths], "path string")
+            self.spark.conf.set(_UNION, known)
+        gone = self.spark.createDataFrame([(p,) for paths, _ in merged for p in paths], "path string")
         rest = self.manifest(version).join(gone, "path", "left_anti")
         return self.commit(rest.unionByName(self._written(folder)), version + 1)
 
@@ -186,7 +183,7 @@ class Table:
         for v in old[1:]:
             gone = gone.union(self.manifest(v))
         n = 0
-        for r in gone.select("path").distinct().join(live.select("path"), "path", "left_anti").toLocalIterator():
+        for r in gone.select("path").distinct().join(live.select("path"), "path", "left_anti").coalesce(1).toLocalIterator():
             fs, p = self._fs(r["path"])
             fs.delete(p, False)
             n += 1
