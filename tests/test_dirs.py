@@ -1,6 +1,8 @@
 """Directories, file sets, flow steps, comprehensions, lineage facts and metadata."""
 
+import os
 import random
+import tempfile
 from datetime import datetime
 
 import pandas as pd
@@ -324,3 +326,13 @@ def test_exec_rows(spark):
     with pytest.raises(Exception, match="exit 3"):
         flow.exec_rows(df, "exit 3", {}).collect()
     assert flow.profile(spark, {"cpu": 2}) is None
+
+
+def test_exec_rows_in_a_temp_folder_by_the_process(spark, monkeypatch):
+    """Executors may name their temp folder by way of the folder they run in, and with blanks."""
+    df = spark.createDataFrame([(1, b"x"), (2, b"y")], "n int, b binary")
+    with tempfile.TemporaryDirectory(prefix=".a b ", dir=os.getcwd()) as own:
+        monkeypatch.setitem(spark.sparkContext.environment, "TMPDIR", f"/proc/self/cwd/{os.path.basename(own)}")
+        got = flow.exec_rows(df, 'echo {{n}} > {{t}}; f=$(mktemp); cat {{b}} {{b}} > "$f"; cat "$f" > {{c}}; echo "$f" > {{p}}', {"t": "string", "c": "binary", "p": "string"}).collect()
+        assert [(r["t"], bytes(r["c"])) for r in got] == [("1\n", b"xx"), ("2\n", b"yy")]
+        assert all(os.path.dirname(r["p"]) == os.path.realpath(own) for r in got)
