@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import EngineError, Kind
 from ..functions.collections import file_digest
@@ -82,25 +84,52 @@ def groups_list(d: DataFrame, pattern: str) -> DataFrame:
     return grouped.join(ranked, "key").select("pos", "path", "file")
 
 
-def number(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with ``pos``: places from 0 in a global order, without gathering them in one task.
+#: Rows that a part of an order is to have, and the most parts.
+PART_ROWS, MOST_PARTS = 20_000, 256
 
-    Rows are dealt by range, so partitions follow one another; each row's place is its
-    place in its partition and the sizes of those before, of which the driver
-    has one number for each partition.
+
+def in_parts(rows: DataFrame, points: Column | None, *order: str) -> DataFrame:
+    """rows with ``part``: how many of the ``split_points`` their key has reached. It depends on the key alone, so it is one wherever it is computed."""
+    out = rows.withColumn("part", F.lit(0))
+    if points is None:
+        return out
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    for step in (1 << i for i in reversed(range(MOST_PARTS.bit_length()))):
+        reached = F.get(points, F.col("part") + (step - 1)) <= key  # null beyond the last
+        out = out.withColumn("part", F.when(reached, F.col("part") + step).otherwise(F.col("part")))
+    return out
+
+
+def split_points(rows: DataFrame, *order: str) -> Column | None:
+    """Keys that part rows into ranges of about as many rows, or None for one range.
+
+    They are of a sample, which only the sizes of the ranges depend on. Keys are of plain types; equal ones are not parted.
+    """
+    keys = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    n = keys.count()
+    parts = min(MOST_PARTS, -(-n // PART_ROWS))
+    if parts <= 1:
+        return None
+    found = keys.sample(min(1.0, 16 * parts / n), seed=0).orderBy(*keys.columns).collect()
+    if not found:
+        return None
+    points = [found[i * len(found) // parts] for i in range(1, parts)]
+    return F.sort_array(F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema.fields]) for r in points]))
+
+
+def number(rows: DataFrame, *order: str, ties: Iterable[str] = ()) -> DataFrame:
+    """rows with ``pos``: places from 0 in a global order, without gathering them in one task. Equal keys are in the order of ``ties``.
+
+    Rows are dealt into ranges by split points that stay the same; each row's place is its place
+    in its range and the sizes of those before, of which the driver has one number for each.
+    Partitions by range won't do: Spark samples their bounds anew, and joins small ones, in each job.
     """
-    dealt = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    marked = dealt.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    before, total = {}, 0
-    for s in sizes:
-        before[s["p"]] = total
-        total += s["n"]
-    if not before:
-        return rows.withColumn("pos", F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
-    return marked.withColumn("pos", offset + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    dealt = in_parts(rows, split_points(rows, *order), *order)
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    offset = F.get(F.array(*[F.lit(x) for x in before]).cast("array<bigint>"), "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order, *ties))
+    return dealt.withColumn("pos", offset + place - 1).drop("part")
 
 
 def collect(d: DataFrame, pattern: str, replacement: str | None = None) -> DataFrame:
@@ -127,8 +156,8 @@ def pick_row(d: DataFrame, glob: str) -> DataFrame:
 
 
 def files(d: DataFrame) -> DataFrame:
-    """(pos, file) in path order."""
-    return number(d, "path").select("pos", "file")
+    """(pos, file) in path order; files that, against a directory's nature, share a path are in their own order."""
+    return number(d, "path", ties=["file"]).select("pos", "file")
 
 
 def dir_length(d: DataFrame) -> int:

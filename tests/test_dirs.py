@@ -73,6 +73,31 @@ def test_number_over_partitions(spark):
     assert [r["pos"] for r in dirs.number(rows, "k").orderBy("k").collect()] == list(range(1000))
 
 
+def test_number_is_the_same_in_every_job(spark):
+    """More rows than bounds of partitions by range are sampled from, and a second column that makes the rows' own job another one."""
+    n = 100_000
+    rows = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    bad = dirs.number(rows, "k").agg(F.count_if(F.col("pos") != F.col("k")), F.countDistinct("pos")).first()
+    assert tuple(bad) == (0, n)
+    d = rows.select(F.lpad(F.col("k").cast("string"), 6, "0").alias("path"), dirs.file_struct(id=F.col("s"), size=F.col("k")).alias("file"))
+    assert tuple(dirs.files(d).agg(F.count_if(F.col("pos") != F.col("file.size")), F.countDistinct("pos")).first()) == (0, n)
+
+
+def test_number_over_odd_keys(spark, monkeypatch):
+    monkeypatch.setattr(dirs, "PART_ROWS", 3)
+    keys = [(a, b) for a in (None, float("-inf"), -0.0, 1.5, float("inf"), float("nan")) for b in (None, "", "a", "b\u00e9", "\U0001f600") for _ in range(2)]
+    random.Random(5).shuffle(keys)
+    rows = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(keys)], "a double, b string, i int")
+    want = [r["i"] for r in rows.repartition(1).sortWithinPartitions("a", "b", "i").collect()]
+    got = dirs.number(rows, "a", "b", ties=["i"]).collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["pos"])] == want and sorted(r["pos"] for r in got) == list(range(len(keys)))
+    same = spark.range(50).select(F.lit("x").alias("k"), F.col("id"))
+    assert sorted((r["pos"], r["id"]) for r in dirs.number(same, "k", ties=["id"]).collect()) == [(i, i) for i in range(50)]
+    times = spark.range(50).select(F.timestamp_seconds(F.col("id") * 1800 + 1711846800).alias("k"), F.col("id"))
+    assert all(r["pos"] == r["id"] for r in dirs.number(times, "k").collect())
+    assert dirs.number(same.limit(0), "k").collect() == []
+
+
 def test_diff(spark):
     a, b = directory(spark, x="1", y="2"), directory(spark, y="3", z="4")
     assert {r["path"]: (r["before"] is None, r["after"] is None) for r in dirs.diff(a, b).collect()} == {"x": (False, True), "y": (False, False), "z": (True, False)}
