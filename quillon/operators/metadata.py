@@ -168,15 +168,21 @@ def nearest_rank(values: Column, p: float) -> Column:
 def percentiles(df: DataFrame, by: str, column: str, ps: dict[str, float]) -> DataFrame:
     """(by, a column for each of ps): percentiles of the values of groups of any size. Null and NaN are no values.
 
-    Rows get their places in one order by group and value, which is dealt by range; a value's rank is its
-    place less that of its group's first, so no group is gathered in one task.
+    Equal values are counted first. The distinct ones are dealt into ranges by group and value, and ranks are sums
+    of counts within a range and a group, and of that group's ranges before; so no group is gathered in one task.
     """
-    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(by).alias("g"), F.col(column).alias("x"))
-    placed = dirs.number(rows, "g", "x")
-    groups = placed.groupBy("g").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    wanted = groups.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (F.col("first") + rank_of(F.col("n"), p) - 1).alias("pos")) for k, p in ps.items()])).alias("w")).select("g", "w.name", "w.pos")
-    found = wanted.join(placed.select("pos", "x"), "pos")
-    return found.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in ps])
+    # A structure of the group, as null is a group too and equals nothing in a join.
+    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.struct(F.col(by).alias("v")).alias("g"), F.col(column).alias("x"))
+    points = dirs.split_points(rows.select("g.v", "x"), "v", "x")
+    counted = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    dealt = dirs.in_parts(counted.withColumn("v", F.col("g.v")), points, "v", "x").drop("v")
+    group = Window.partitionBy("g")
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("n"))
+    parts = sums.select("g", "part", (F.sum("n").over(group.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part").orderBy("x"))
+    placed = dealt.join(parts, ["g", "part"]).select("g", "x", "n", "total", last.alias("last"))
+    at = lambda p: rank_of(F.col("total"), p).between(F.col("last") - F.col("n") + 1, F.col("last"))
+    return placed.groupBy(F.col("g").alias("_g")).agg(*[F.max(F.when(at(p), F.col("x"))).alias(k) for k, p in ps.items()]).select(F.col("_g.v").alias(by), *[F.col(f"`{k}`") for k in ps])
 
 
 def newest(df: DataFrame, n: int, *by: str) -> DataFrame:

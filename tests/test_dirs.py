@@ -278,6 +278,21 @@ def test_every_percent(spark):
         assert all(got[str(p)] == -(-n * p // 100) for p in range(1, 101))
 
 
+def test_ranks_of_many_values(spark):
+    """More rows than bounds of partitions by range are sampled from; a null group, and a value that is most of a group."""
+    n = 40_000
+    i = F.col("id")
+    rows = spark.range(0, 3 * n, 1, 8).select(F.when(i % 3 > 0, F.concat(F.lit("g"), i % 3)).alias("g"), F.floor(i / 3).alias("x"))
+    rows = rows.select("g", F.when(F.col("g") == "g2", F.greatest(F.col("x"), F.lit(n // 2))).otherwise(F.col("x") * 7919 % n).cast("double").alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with rows enough for several partitions
+    try:
+        got = {r["g"]: tuple(r)[1:] for r in metadata.percentiles(rows, "g", "x", {f"p{p}": p for p in range(0, 101, 10)}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranks = [max(0, n * p // 100 - 1) for p in range(0, 101, 10)]
+    assert got == {None: tuple(map(float, ranks)), "g1": tuple(map(float, ranks)), "g2": tuple(float(max(r, n // 2)) for r in ranks)}
+
+
 def test_prediction(spark):
     t = task_rows(spark)
     p = metadata.Predictor(min_data=2, max_inspect=2, mem_percentile=100)
