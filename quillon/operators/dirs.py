@@ -89,14 +89,14 @@ PART_ROWS, MOST_PARTS = 20_000, 256
 
 
 def in_parts(rows: DataFrame, points: Column | None, *order: str) -> DataFrame:
-    """rows with ``part``: how many of the ``split_points`` their key has reached. It depends on the key alone, so it is one wherever it is computed."""
-    out = rows.withColumn("part", F.lit(0))
+    """rows with ``_part``: how many of the ``split_points`` their key has reached. It depends on the key alone, so it is one wherever it is computed."""
+    out = rows.withColumn("_part", F.lit(0))
     if points is None:
         return out
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     for step in (1 << i for i in reversed(range(MOST_PARTS.bit_length()))):
-        reached = F.get(points, F.col("part") + (step - 1)) <= key  # null beyond the last
-        out = out.withColumn("part", F.when(reached, F.col("part") + step).otherwise(F.col("part")))
+        reached = F.get(points, F.col("_part") + (step - 1)) <= key  # null beyond the last
+        out = out.withColumn("_part", F.when(reached, F.col("_part") + step).otherwise(F.col("_part")))
     return out
 
 
@@ -125,11 +125,11 @@ def number(rows: DataFrame, *order: str, ties: Iterable[str] = ()) -> DataFrame:
     Partitions by range won't do: Spark samples their bounds anew, and joins small ones, in each job.
     """
     dealt = in_parts(rows, split_points(rows, *order), *order)
-    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
-    offset = F.get(F.array(*[F.lit(x) for x in before]).cast("array<bigint>"), "part")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order, *ties))
-    return dealt.withColumn("pos", offset + place - 1).drop("part")
+    offset = F.get(F.array(*[F.lit(x) for x in before]).cast("array<bigint>"), "_part")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order, *ties))
+    return dealt.withColumn("pos", offset + place - 1).drop("_part")
 
 
 def collect(d: DataFrame, pattern: str, replacement: str | None = None) -> DataFrame:

@@ -177,10 +177,10 @@ def percentiles(df: DataFrame, by: str, column: str, ps: dict[str, float]) -> Da
     counted = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
     dealt = dirs.in_parts(counted.withColumn("v", F.col("g.v")), points, "v", "x").drop("v")
     group = Window.partitionBy("g")
-    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("n"))
-    parts = sums.select("g", "part", (F.sum("n").over(group.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"))
-    last = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part").orderBy("x"))
-    placed = dealt.join(parts, ["g", "part"]).select("g", "x", "n", "total", last.alias("last"))
+    sums = dealt.groupBy("g", "_part").agg(F.sum("n").alias("n"))
+    parts = sums.select("g", "_part", (F.sum("n").over(group.orderBy("_part")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("g", "_part").orderBy("x"))
+    placed = dealt.join(parts, ["g", "_part"]).select("g", "x", "n", "total", last.alias("last"))
     at = lambda p: rank_of(F.col("total"), p).between(F.col("last") - F.col("n") + 1, F.col("last"))
     return placed.groupBy(F.col("g").alias("_g")).agg(*[F.max(F.when(at(p), F.col("x"))).alias(k) for k, p in ps.items()]).select(F.col("_g.v").alias(by), *[F.col(f"`{k}`") for k in ps])
 

@@ -96,6 +96,7 @@ def test_number_over_odd_keys(spark, monkeypatch):
     times = spark.range(50).select(F.timestamp_seconds(F.col("id") * 1800 + 1711846800).alias("k"), F.col("id"))
     assert all(r["pos"] == r["id"] for r in dirs.number(times, "k").collect())
     assert dirs.number(same.limit(0), "k").collect() == []
+    assert [(r["part"], r["pos"]) for r in dirs.number(same.select(F.col("id").alias("part")), "part").orderBy("pos").collect()] == [(i, i) for i in range(50)]
 
 
 def test_diff(spark):
